@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.llm import pii
 from graphloom.llm.common import table
+from graphloom.llm.htmltext import extract_text
 from graphloom.llm.language import identify_language
 from graphloom.llm.minhash import near_duplicates
+from graphloom.llm.mixing import mix
 from graphloom.llm.toxicity import toxicity
+from graphloom.llm.warc import warc_round_trip
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +28,32 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
+    "op4_warc": op4_warc,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_mixing": op6_mixing,
+    "op7_pii": op7_pii,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_pii": pii.reference_sql(),
+}
