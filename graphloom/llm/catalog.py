@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import pii
+from graphloom.llm import pii, topk
+from graphloom.llm.ann import nearest
 from graphloom.llm.common import table
 from graphloom.llm.htmltext import extract_text
 from graphloom.llm.language import identify_language
@@ -44,6 +45,14 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_scores(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -52,8 +61,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html_extraction": op5_html_extraction,
     "op6_mixing": op6_mixing,
     "op7_pii": op7_pii,
+    "op8_ann": op8_ann,
+    "op10_exact_top_k": op10_exact_top_k,
 }
 
 SQL: dict[str, str] = {
     "op7_pii": pii.reference_sql(),
+    "op10_exact_top_k": topk.REFERENCE_SQL,
 }
