@@ -13,9 +13,12 @@ from graphloom.llm.htmltext import extract_text
 from graphloom.llm.language import identify_language
 from graphloom.llm.minhash import near_duplicates
 from graphloom.llm.mixing import mix
+from graphloom.llm.pieces import PieceModel, sampled_round_trip
 from graphloom.llm.toxicity import toxicity
 from graphloom.llm.warc import warc_round_trip
 
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"  #: read by the driver only
+
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=85)
@@ -49,10 +52,20 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled_round_trip(table(spark, sf_dir, "documents"), PieceModel.load(PIECE_MODEL))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_scores(table(spark, sf_dir, "embeddings"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -62,7 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_pii": op7_pii,
     "op8_ann": op8_ann,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_exact_top_k": op10_exact_top_k,
+    "pipeline": pipeline,
 }
 
 SQL: dict[str, str] = {
