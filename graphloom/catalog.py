@@ -432,3 +432,60 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("fuzzy_mass", f"{_FUZZY} select src as id, round(sum(weight), 6)::double as mass from w group by 1")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(knn.mass(_knn(spark, sf, 3).select("src", "dst", (1 / (1 + F.col("distance"))).alias("weight"))), "mass")
+
+
+# -- mutation log and files --------------------------------------------------------------------
+
+_BATCH = """
+fresh = ADD_NODES n=3
+ADD_EDGES pairs=[(0,1),(1,2),(2,0)] ! relative fresh
+SET_ATTR_VALUES scope=edge name=weight ids=[0,2] values=[7,9] ! relative added_edge_ids
+SET_ATTR_VALUES scope=node name=name ids=[1] values=["ATLANTIS"] ! relative fresh
+REMOVE_NODES ids=[3,4]
+"""
+
+
+@query("replay_text_batch", f"with {TRADE}, x as (select (max(id) + 1)::bigint as i from e), r as (select * from p where src not in (3, 4) and dst not in (3, 4)), m as (select (max(id) + 1)::bigint as i from p) select id, src, dst, weight from r union all select m.i + k, 25 + k, 25 + (k + 1) % 3, case k when 0 then 7 when 2 then 9 else 0 end from m, range(0, 3) t(k)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    from graphloom.streaming.log import replayed
+
+    return replayed(tg.trade(spark, sf, sparse=True), _BATCH).edges
+
+
+@query("incremental_strength", "select id, sum(w)::double as strength from (select l_suppkey as id, case when l_returnflag = 'R' then -l_quantity else l_quantity end as w from lineitem union all select l_partkey, case when l_returnflag = 'R' then -l_quantity else l_quantity end from lineitem) group by 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    from graphloom.streaming.strength import running_strength
+
+    items = tg.table(spark, sf, "lineitem")
+    op = F.when(F.col("l_returnflag") == "R", "remove").otherwise("add")
+    return running_strength(items.select(op.alias("op"), F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_quantity").alias("weight")))
+
+
+def _round_trip(spark: SparkSession, sf: str, write: Callable, read: Callable) -> DataFrame:
+    from graphloom.scratch import Scratch
+
+    path = Scratch(spark, "files").path("graph")
+    write(tg.trade(spark, sf, sparse=True), path)
+    g = read(spark, path)
+    names = g.nodes.select("id", "name")
+    ends = g.edges.select("src", "dst", F.col("weight").cast("long").alias("weight"))
+    ends = ends.join(names.select(F.col("id").alias("src"), F.col("name").alias("a")), "src").join(names.select(F.col("id").alias("dst"), F.col("name").alias("b")), "dst")
+    return ends.select("a", "b", "weight")
+
+
+def _formats() -> dict[str, tuple[Callable, Callable]]:
+    from graphloom.sources import binary, interchange, parquet, xnet
+
+    return {
+        "parquet": (parquet.write_parquet, parquet.read_parquet),
+        "xnet": (xnet.write_xnet, xnet.read_xnet),
+        "node_link_json": (interchange.write_node_link, interchange.read_node_link),
+        "gml": (interchange.write_gml, interchange.read_gml),
+        "bxnet": (binary.write_bxnet, binary.read_bxnet),
+        "zxnet": (binary.write_zxnet, binary.read_zxnet),
+        "gt": (binary.write_gt, binary.read_gt),
+    }
+
+
+for _f in ("parquet", "xnet", "node_link_json", "gml", "bxnet", "zxnet", "gt"):
+    query(f"round_trip_{_f}", f"with {TRADE} select s.name as a, d.name as b, weight from p join n s on s.id = src join n d on d.id = dst")(lambda spark, sf, f=_f: _round_trip(spark, sf, *_formats()[f]))
