@@ -63,7 +63,7 @@ class BitSlicedIndex:
         out, at = [], 0
         while columns:
             todo = columns.pop(at, [])
-            carries = columns[at + 1] if todo else []
+            carries: list[int] = []
             while len(todo) > 2:
                 a, b, c = todo.pop(), todo.pop(), todo.pop()
                 half = a ^ b
@@ -73,8 +73,8 @@ class BitSlicedIndex:
                 a, b = todo
                 carries.append(a & b)
                 todo = [a ^ b]
-            if not carries:
-                columns.pop(at + 1, None)
+            if carries:
+                columns[at + 1].extend(carries)
             out.append(todo[0] if todo else 0)
             at += 1
         return out
