@@ -209,6 +209,7 @@ LABELLED = [
     (66, 0, 4, 0, 35, 0, 0, 0, 0, 0, 1), (8, 0, 2, 1, 55, 0, 0, 0, 1, 0, 1), (5, 0, 40, 0, 62, 0, 0, 0, 1, 0, 1), (14, 0, 62, 0, 22, 0, 0, 0, 0, 0, 1),
     (22, 0, 14, 0, 30, 0, 0, 0, 0, 0, 1), (18, 0, 50, 0, 16, 0, 0, 0, 0, 1, 1), (30, 0.3, 50, 0, 45, 0, 0, 0, 0, 0, 1), (90, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1),
     (26, 0, 33, 0, 3, 1, 0, 0, 0, 0, 1), (33, 0.2, 6, 0, 26, 0, 0, 0, 0, 0, 1), (11, 0, 30, 0, 41, 0, 0, 0, 0, 0, 1), (7, 0, 36, 0, 29, 0, 0, 0, 0, 0, 1),
+    (24, 0, 24, 0, 1, 1, 0, 0, 0, 0, 1), (40, 0, 35, 0, 2, 1, 0, 0, 0, 0, 1), (24, 0, 3, 0, 24, 0, 0, 0, 0, 0, 1), (3, 0, 1, 1, 24, 0, 0, 0, 1, 0, 1),
     (1, 1, 0, 0, 1, 1, 0, 0, 0, 0, 0), (1, 1, 1, 1, 2, 1, 0, 0, 0, 1, 0), (2, 1, 1, 1, 1, 1, 0, 0, 0, 1, 0), (3, 1, 2, 1, 8, 0, 0, 0, 0, 0, 0),
     (2, 1, 2, 1, 9, 0, 0, 0, 0, 0, 0), (4, 0, 3, 1, 5, 1, 0, 0, 0, 0, 0), (12, 0.9, 60, 0, 10, 0.9, 0, 0, 0, 1, 0), (10, 0.9, 12, 0.9, 6, 0.8, 0, 0, 0, 1, 0),
     (6, 0.5, 3, 1, 2, 1, 0, 0, 0, 0, 0), (5, 0.2, 2, 1, 0, 0, 0, 0, 0, 0, 0), (7, 0, 4, 1, 3, 1, 0, 0, 0, 0, 0), (3, 0, 5, 0.6, 4, 0.7, 0, 0, 1, 0, 0),
