@@ -7,7 +7,8 @@ one record at a time.
 
 ``archive_pages`` writes pages as ``response`` records; of pages with equal
 payloads of at least ``least`` bytes the one with the largest id is the
-response and the others are ``revisit`` records that refer to it.  Every task
+response and the others are ``revisit`` records that refer to it.  A record's
+id is made of the page's id and its payload's digest.  Every task
 writes its archives under a temporary name and then moves them, so a repeated
 task replaces its files by equal ones.
 """
@@ -150,7 +151,7 @@ def _write(batches: Iterator[pa.RecordBatch], where: str, date: str, roll: int)
     task = TaskContext.get()
     part, attempt = (task.partitionId(), task.taskAttemptId()) if task else (0, 0)
     paths, counts, sizes = [], [], []
-    sink, name, n, size, last, times, nulls = None, "", 0, 0, None, 0, 0
+    sink, name, n, size, nulls = None, "", 0, 0, 0
 
     def close() -> None:
         sink.close()
@@ -161,7 +162,7 @@ def _write(batches: Iterator[pa.RecordBatch], where: str, date: str, roll: int)
 
     for batch in batches:
         for page_id, url, html, digest, target in zip(*(batch.column(i) for i in range(5)), strict=True):
-            page_id = page_id.as_py()
+            page_id, digest = page_id.as_py(), digest.as_py()
             if sink is None:
                 name, n, size = f"part-{part:06d}-{len(paths):04d}.warc.gz", 0, 0
                 store.create_dir(f"{base}/_temporary", recursive=True)
@@ -170,13 +171,11 @@ def _write(batches: Iterator[pa.RecordBatch], where: str, date: str, roll: int)
                 nulls += 1
                 rid = f"urn:page:null:{part}-{nulls}"
             else:
-                times = times + 1 if page_id == last else 0
-                last = page_id
-                rid = f"urn:page:{page_id}:{times}"
+                rid = f"urn:page:{page_id}:{digest}"
             target = target.as_py()
             html = html.as_py()
             payload = html.encode("utf-8", "surrogatepass") if html else b""
-            made = page_record(rid, url.as_py(), payload, digest.as_py(), None if target is None else f"urn:page:{target}:0", date)
+            made = page_record(rid, url.as_py(), payload, digest, None if target is None else f"urn:page:{target}:{digest}", date)
             sink.write(made)
             n, size = n + 1, size + len(made)
             if size >= roll:
@@ -257,7 +256,7 @@ def warc_round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, verified boolean")
     found = scratch.save(read_warc(spark, where, with_payload=False), "records")
     page = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+):", 1).try_cast("long")
-    responses = found.where("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("payload_bytes").alias("size"), F.col("payload_digest").alias("sum"))
+    responses = found.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.max("payload_bytes").alias("size"), F.max("payload_digest").alias("sum"))
     again = found.where("record_type = 'revisit'").join(responses, "refers_to", "left")
     again = again.select("record_id", F.col("size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", (F.col("verified") & F.coalesce(F.col("sum") == F.col("payload_digest"), F.lit(False))).alias("verified"))
     rows = found.where("record_type = 'response'").select(again.columns).unionByName(again)
