@@ -25,7 +25,7 @@ TOXIC = 0.3  #: documents with this score or more go
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below ``TOXIC``; null and empty texts stay unless most labelled rows are toxic."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return score_documents(docs, model).where(F.col("score") < TOXIC).drop("score")
+    return score_documents(docs, model, name="__toxicity").where(F.col("__toxicity") < TOXIC).drop("__toxicity")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +35,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     scratch = Scratch(spark, "pipeline-dedup")
     kept = scratch.save(near_duplicates(docs).where("kept").select("doc_id"), "kept")
-    named = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    out = docs.join(named, "doc_id").select(*docs.columns, "rows")
-    once = out.where("rows = 1").drop("rows")
-    again = out.where("rows > 1").drop("rows").dropDuplicates(["doc_id"])
+    named = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__rows"))
+    out = docs.join(named, "doc_id").select(*docs.columns, "__rows")
+    once = out.where("__rows = 1").drop("__rows")
+    again = out.where("__rows > 1").drop("__rows").dropDuplicates(["doc_id"])
     return once.unionByName(again).unionByName(docs.where("doc_id is null"))
 
 

@@ -116,7 +116,7 @@ class SubwordSoftmax:
         return (self.E @ w).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
-def _score(batches: Iterator[pa.RecordBatch], features, table: np.ndarray, bias: float, keep: int = 300_000) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], features, table: np.ndarray, bias: float, name: str = "score", keep: int = 300_000) -> Iterator[pa.RecordBatch]:
     known: dict[str, tuple[float, int]] = {}
     for batch in batches:
         scores = np.empty(batch.num_rows)
@@ -134,7 +134,7 @@ def _score(batches: Iterator[pa.RecordBatch], features, table: np.ndarray, bias:
                 n += times * got[1]
             scores[r] = 1 / (1 + np.exp(-np.clip(bias + (total / n if n else 0.0), -50, 50)))
         rest = [batch.column(i) for i in range(1, batch.num_columns)]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(scores)], [*batch.schema.names[1:], "score"])
+        yield pa.RecordBatch.from_arrays([*rest, pa.array(scores)], [*batch.schema.names[1:], name])
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_chars: int) -> tuple[list[str], list[int]]:
@@ -146,17 +146,17 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_chars
     return rows.text.tolist(), rows.toxic.astype(int).tolist()
 
 
-def score_documents(docs: DataFrame, model: SubwordSoftmax, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns of ``keep`` (all by default) and ``score``: the probability of label 1.
+def score_documents(docs: DataFrame, model: SubwordSoftmax, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns of ``keep`` (all by default) and ``name``: the probability of label 1.
 
     Null and empty texts get the score of an empty bag.  Rows are scored one
     by one, so repeated rows, null ids and further columns pass unchanged.
     """
     table, bias = model.collapsed()
     keep = docs.columns if keep is None else keep
-    rows = docs.select(F.col(text_col).alias("__text"), *[F.col(f"`{c}`") for c in keep if c != "score"])
+    rows = docs.select(F.col(text_col).alias("__text"), *[F.col(f"`{c}`") for c in keep if c != name])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(partial(_score, features=model.features, table=table, bias=bias), f"{schema}, score double" if schema else "score double")
+    return rows.mapInArrow(partial(_score, features=model.features, table=table, bias=bias, name=name), ", ".join(filter(None, [schema, f"`{name}` double"])))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_chars: int = 100_000, **settings) -> SubwordSoftmax:
