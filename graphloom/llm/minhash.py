@@ -19,10 +19,12 @@ the connected components of the links are the groups of near-duplicates.
 3. Stars: the members of each node are compared with its first member only;
    this already joins large groups of copies without listing their pairs.
 4. Nodes that still hold several components are worked off: small ones
-   exhaustively over sketches, large ones descend further, and large ones that
-   do not shrink (many almost equal documents) compare the rows outside the
-   node's largest component with all its rows, in blocks.  Pairs within one
-   component are never listed.
+   exhaustively, large ones descend further, and large ones that do not shrink
+   (many almost equal documents) compare the rows outside the node's largest
+   component with all its rows, in blocks.  Pairs are compared by minwise
+   tokens first and then by samples of the sets (whole sets up to ``BAG``
+   shingles), so that few are listed that are not links; pairs within one
+   component never are.
 5. Candidates are confirmed on the full shingle sets (64-bit hashes).
 
 No step caps a group or drops a candidate, and no group of unbounded size
@@ -32,7 +34,7 @@ meets in one task: stars are dealt out in cells of ``CELL`` members.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +47,12 @@ from graphloom.operators.components import component_labels
 from graphloom.scratch import Scratch
 
 LEAF = 64  #: nodes up to this size are compared exhaustively
+BLOCK = 128  #: rows of a dense region that a cell takes from either side
 CELL = 256  #: members of a star that one cell confirms
-SHRINK = 0.6  #: a child larger than this share of its parent counts as dense
+SHRINK = 0.6  #: a node is dense if a child would hold more than this share of it
 MARGIN = 0.15  #: candidates' sketches may be this much less similar than the threshold (4.7 deviations at 128 positions)
+BAG = 512  #: shingles of a set that its sample holds at most; more than half as many unless the set is smaller
+BAG_MARGIN = 0.085  #: the same for samples of sets that have more shingles (3.8 to 5.4 deviations)
 #: Three-word shingle mixing constants, odd.
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -78,13 +83,23 @@ def _multipliers(positions: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _minwise(s: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
-    """Minimum of each of the hash functions over the set, as its low 32 bits."""
+    """Minimum of each of the hash functions over the set, as its top 16 bits of a remix."""
     low = np.full(len(mul), np.iinfo(np.uint64).max, np.uint64)
     step = max(1, 200_000 // len(mul))
     for i in range(0, len(s), step):
         h = (s[i : i + step, None] * mul[None, :]) + add[None, :]
         np.minimum(low, h.min(axis=0), out=low)
-    return (low >> np.uint64(32)).astype(np.uint32)
+    return (mix64(low) >> np.uint64(48)).astype(np.uint16)
+
+
+def _bag(s: np.ndarray) -> bytes:
+    """A sample of a sorted set: its halvings, how many of it are left after one more, and 16 bits of each member."""
+    halvings = 0
+    while len(s) > BAG:
+        halvings += 1
+        s = s[: np.searchsorted(s, np.uint64(1 << (64 - halvings)))]
+    fewer = np.searchsorted(s, np.uint64(1 << (63 - halvings)))
+    return np.concatenate([np.array([halvings, fewer]), s & np.uint64(0xFFFF)]).astype(np.uint16).tobytes()
 
 
 def _sketches(batches: Iterator[pa.RecordBatch], k: int, positions: int) -> Iterator[pa.RecordBatch]:
@@ -92,7 +107,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int, positions: int) -> Iter
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            n, hi, lo, sig = [], [], [], []
+            n, hi, lo, sig, bag = [], [], [], [], []
             for text in part.column(1):
                 s = shingle_set(text.as_py(), k)
                 a, b = _fingerprint(s)
@@ -100,7 +115,8 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int, positions: int) -> Iter
                 hi.append(a)
                 lo.append(b)
                 sig.append(_minwise(s, mul, add).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n", "hi", "lo", "sig"])
+                bag.append(_bag(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.binary()), pa.array(bag, pa.binary())], ["doc_id", "n", "hi", "lo", "sig", "bag"])
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dtype: type) -> np.ndarray:
@@ -136,7 +152,7 @@ def _first_nodes(batches: Iterator[pa.RecordBatch], trees: int, depth: int, bran
             part = batch.slice(at, 2000)
             if not part.num_rows:
                 continue
-            sig = _matrix(part.column(1), np.uint32)
+            sig = _matrix(part.column(1), np.uint16)
             v = part.column(0).to_numpy(zero_copy_only=False)
             out_v, out_node = [], []
             for tree in range(trees):
@@ -156,7 +172,7 @@ def _next_nodes(batches: Iterator[pa.RecordBatch], branch: float) -> Iterator[pa
             part = batch.slice(at, 4000)
             node = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             v = part.column(1).to_numpy(zero_copy_only=False)
-            rows, child = _descend(v, _matrix(part.column(3), np.uint32), node, branch)
+            rows, child = _descend(v, _matrix(part.column(3), np.uint16), node, branch)
             size = part.column(2).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(v[rows]), pa.array(size[rows])], ["node", "v", "parent"])
 
@@ -172,15 +188,61 @@ def _similar(sk: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, thresh
     return ok
 
 
+def _shares(bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard similarity of each pair by its samples, and which pairs' samples are their whole sets."""
+    halvings = np.array([b[0] for b in bags])
+    held = [np.unique(b[2:]) for b in bags]
+    fewer = [np.unique(b[2 : 2 + b[1]]) for b in bags]
+    values, at = np.unique(np.concatenate(held), return_inverse=True)
+    full = np.zeros((len(bags), len(values)), np.float32)
+    full[np.repeat(np.arange(len(bags)), [len(h) for h in held]), at] = 1
+    both, size = full @ full.T, np.array([len(h) for h in held], float)
+    left, right = np.broadcast_to(size[:, None], both.shape).copy(), np.broadcast_to(size[None, :], both.shape).copy()
+    if len(set(halvings.tolist())) > 1:
+        less = np.zeros_like(full)
+        less[np.repeat(np.arange(len(bags)), [len(h) for h in fewer]), np.searchsorted(values, np.concatenate(fewer))] = 1
+        cut, least = less @ full.T, np.array([len(h) for h in fewer], float)
+        above = halvings[:, None] < halvings[None, :]
+        both = np.where(above, cut, np.where(above.T, cut.T, both))
+        left, right = np.where(above, least[:, None], left), np.where(above.T, least[None, :], right)
+    return both / np.maximum(left + right - both, 1), (halvings[:, None] == 0) & (halvings[None, :] == 0)
+
+
+def _worthwhile(i: np.ndarray, j: np.ndarray, comp: np.ndarray, bags: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
+    """Of a leaf's plausible pairs: a forest of those that are links all but surely, and every doubtful one between its trees."""
+    rows, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+    x, y = back[: len(i)], back[len(i) :]
+    share, whole = _shares([bags[r] for r in rows])
+    s, w = share[x, y], whole[x, y]
+    least = threshold / 100 - np.where(w, 0.01, BAG_MARGIN)
+    sure = s >= threshold / 100 + np.where(w, 0.02, BAG_MARGIN)
+    tree: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while c in tree:
+            c = tree[c]
+        return c
+
+    out = []
+    for p in np.flatnonzero(s >= least)[np.argsort(-(s[s >= least] + sure[s >= least]), kind="stable")]:
+        a, b = root(int(comp[i[p]])), root(int(comp[j[p]]))
+        if a != b:
+            out.append((i[p], j[p]))
+            if sure[p]:
+                tree[max(a, b)] = min(a, b)
+    return out
+
+
 def _leaf_pairs(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     """Pairs of different components within small nodes; rows come sorted by (node, block)."""
     for t in sorted_runs(batches, ["node", "block"]):
         node, block, v, comp, n = (t.column(c).to_numpy() for c in ("node", "block", "v", "comp", "n"))
         minor = t.column("minor").to_numpy()
         sk = _matrix(t.column("sk"), np.uint8)
+        bags = [np.frombuffer(x.as_buffer(), np.uint16) for x in t.column("bag")]
         starts = run_starts([node, block])
         sizes = np.diff(np.append(starts, len(node)))
-        out_a, out_b = [], []
+        out: list[tuple[int, int]] = []
         for size in np.unique(sizes):
             if size < 2:
                 continue
@@ -193,10 +255,15 @@ def _leaf_pairs(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[p
                 apart = (comp[i] != comp[j]) & (minor[i] | minor[j])
                 i, j = i[apart], j[apart]
                 ok = _similar(sk, n, i, j, threshold)
-                out_a.append(v[i[ok]])
-                out_b.append(v[j[ok]])
-        if out_a:
-            a, b = np.concatenate(out_a), np.concatenate(out_b)
+                i, j = i[ok], j[ok]
+                if not len(i):
+                    continue
+                leaf = np.searchsorted(starts, i, "right")
+                cuts = run_starts([leaf])
+                for a, b in zip(cuts, np.append(cuts[1:], len(i)), strict=True):
+                    out += _worthwhile(i[a:b], j[a:b], comp, bags, threshold)
+        if out:
+            a, b = v[np.array(out).T]
             pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
@@ -246,12 +313,12 @@ class _Join:
         self.scratch = Scratch(docs.sparkSession, "minhash")
 
     def sketch(self) -> None:
-        rows = self.docs.mapInArrow(partial(_sketches, k=self.k, positions=self.positions), "doc_id long, n long, hi long, lo long, sig binary")
+        rows = self.docs.mapInArrow(partial(_sketches, k=self.k, positions=self.positions), "doc_id long, n long, hi long, lo long, sig binary, bag binary")
         self.rows = self.scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
         named = self.rows.where("doc_id is not null and n > 0")
         first = named.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "row")).alias("f"))
         self.classes = self.scratch.save(first.select("hi", "lo", F.col("f.doc_id").alias("first_id"), F.col("f.row").alias("v")), "classes")
-        reps = self.rows.select(F.col("row").alias("v"), "doc_id", "n", "hi", "lo", "sig").join(self.classes.select("v"), "v", "left_semi")
+        reps = self.rows.select(F.col("row").alias("v"), "doc_id", "n", "hi", "lo", "sig", "bag").join(self.classes.select("v"), "v", "left_semi")
         self.reps = self.scratch.save(reps, "reps")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
@@ -289,32 +356,61 @@ class _Join:
         known = self.reps.select("v", "n").join(labels, "v", "left").select("v", "n", F.coalesce("comp", "v").alias("comp"))
         known = self.scratch.save(known, "known")
         rows = self.live.select("node", "v", F.lit(None).cast("long").alias("parent"))
-        found = []
+        found, dense = [], []
         while True:
             rows = rows.join(known, "v")
             per = rows.groupBy("node", "comp").agg(F.count("*").alias("c"), F.max("parent").alias("parent"))
             of = per.groupBy("node").agg(F.sum("c").alias("size"), F.max("parent").alias("parent"), F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top"))
-            of = of.where("comps > 1").select("node", "size", F.col("top.comp").alias("main"), F.when(F.col("size") <= LEAF, "leaf").when(F.col("size") > SHRINK * F.col("parent"), "dense").otherwise("open").alias("kind"))
+            of = of.where("comps > 1").select("node", "size", F.col("top.comp").alias("main"), (F.col("size") > SHRINK * F.col("parent")).alias("stuck"))
             rows = self.scratch.save(rows.drop("parent").join(of, "node"), "mixed")
-            leaf = rows.where("kind = 'leaf'").select("node", F.lit(0).alias("block"), "v", "comp", "n", F.lit(True).alias("minor"))
-            blocks = F.ceil(F.col("size") / LEAF).cast("int")
-            own = F.pmod(F.xxhash64("v"), blocks).cast("int")
-            dense = rows.where("kind = 'dense'").withColumn("minor", F.col("comp") != F.col("main"))
-            dense = dense.withColumn("block", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))))
-            found.append(leaf.unionByName(dense.select("node", "block", "v", "comp", "n", "minor")))
-            more = rows.where("kind = 'open'").select("node", "v", F.col("size").alias("parent"))
+            large = self._with_density(rows.where(F.col("size") > LEAF))
+            leaf = rows.where(F.col("size") <= LEAF).select("node", F.lit(0).alias("block"), "v", "comp", "n", F.lit(True).alias("minor"))
+            found.append(leaf)
+            dense.append(large.where("dense").select("node", "v", "comp", "n"))
+            more = large.where("not dense").select("node", "v", F.col("size").alias("parent"))
             if not more.limit(1).count():
                 break
             more = more.join(self.reps.select("v", "sig"), "v").select("node", "v", "parent", "sig")
             rows = self.scratch.save(more.mapInArrow(partial(_next_nodes, branch=self.branch), "node long, v long, parent long"), "deeper")
-        leaves = found[0]
-        for x in found[1:]:
-            leaves = leaves.unionByName(x)
-        sk = self.reps.select("v", "sig").mapInArrow(_low_bytes, "v long, sk binary")
+        leaves = reduce(DataFrame.unionByName, [*found, self._regions(reduce(DataFrame.unionByName, dense))])
+        sk = self.reps.select("v", "sig", "bag").mapInArrow(_low_bytes, "v long, sk binary, bag binary")
         leaves = leaves.join(sk, "v").repartition("node", "block").sortWithinPartitions("node", "block")
         pairs = leaves.mapInArrow(partial(_leaf_pairs, threshold=self.threshold), "a long, b long")
         return pairs.distinct()
 
+    def _with_density(self, large: DataFrame) -> DataFrame:
+        """Large nodes' rows with ``dense``: whether a further descent would hardly part them.
+
+        The mean similarity of about 2 * LEAF members tells how much a child
+        holds of its parent; nodes that did not shrink are dense anyway.  This
+        only chooses between two ways that both treat all of a node's rows.
+        """
+        chance = F.pmod(F.xxhash64("node", "v"), F.lit(1 << 20)) * F.col("size") < float(2 * LEAF << 20)
+        some = large.where(chance).select("node", "v").join(self.reps.select("v", "sig"), "v").select("node", "sig")
+        shares = some.repartition("node").sortWithinPartitions("node").mapInArrow(_mean_similarity, "node long, share double")
+        dense = F.coalesce("stuck", F.lit(False)) | (F.coalesce("share", F.lit(0.0)) > SHRINK)
+        return self.scratch.save(large.join(shares, "node", "left").withColumn("dense", dense).drop("share"), "large")
+
+    def _regions(self, dense: DataFrame) -> DataFrame:
+        """Cells in which the rows outside a region's largest component meet all its rows.
+
+        A region is what dense nodes that share rows hold together: one
+        covering of it replaces those of its nodes.
+        """
+        dense = self.scratch.save(dense, "dense")
+        edges = dense.join(dense.groupBy("node").agg(F.min("v").alias("first")), "node").select(F.col("v").alias("a"), F.col("first").alias("b")).distinct()
+        of = component_labels(edges, scratch=self.scratch).withColumnRenamed("comp", "node")
+        rows = self.scratch.save(dense.select("v", "comp", "n").distinct().join(of, "v"), "regions")
+        per = rows.groupBy("node", "comp").agg(F.count("*").alias("c"))
+        sums = per.groupBy("node").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top"))
+        across, down = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil((F.col("size") - F.col("top.c")) / BLOCK).cast("int")
+        rows = rows.join(sums.select("node", across.alias("across"), down.alias("down"), F.col("top.comp").alias("main")), "node").where("down > 0")
+        cell = lambda i, j: (F.col(i) * F.col("across") + F.col(j)).alias("block")
+        own = lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
+        asked = rows.where("comp <> main").withColumn("i", own("down")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
+        every = rows.withColumn("j", own("across")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("down") - 1)))
+        return asked.select("node", cell("i", "j"), "v", "comp", "n", F.lit(True).alias("minor")).unionByName(every.select("node", cell("i", "j"), "v", "comp", "n", F.lit(False).alias("minor")))
+
     def run(self) -> DataFrame:
         self.sketch()
         links = self.confirmed(self.stars())
@@ -332,18 +428,30 @@ class _Join:
         return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _mean_similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mean share of equal minwise tokens over a node's pairs."""
+    for t in sorted_runs(batches, ["node"]):
+        node, sig = t.column("node").to_numpy(), _matrix(t.column("sig"), np.uint16)
+        starts = run_starts([node])
+        shares = []
+        for a, b in zip(starts, np.append(starts[1:], len(node)), strict=True):
+            equal = sum(float((sig[a:b] == row).mean(axis=1).sum()) for row in sig[a:b])
+            shares.append((equal - (b - a)) / max((b - a) * (b - a - 1), 1))
+        yield pa.RecordBatch.from_arrays([pa.array(node[starts]), pa.array(shares, pa.float64())], ["node", "share"])
+
+
 def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lowest byte of each minwise token: enough to compare sketches."""
     for batch in batches:
         if batch.num_rows:
-            sk = np.ascontiguousarray(_matrix(batch.column(1), np.uint32).astype(np.uint8))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in sk], pa.binary())], ["v", "sk"])
+            sk = np.ascontiguousarray(_matrix(batch.column(1), np.uint16).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in sk], pa.binary()), batch.column(2)], ["v", "sk", "bag"])
 
 
 def _star_pairs(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            sa, sb = _matrix(batch.column(2), np.uint32), _matrix(batch.column(3), np.uint32)
+            sa, sb = _matrix(batch.column(2), np.uint16), _matrix(batch.column(3), np.uint16)
             ok = pa.array((sa == sb).mean(axis=1) >= threshold / 100 - MARGIN)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
