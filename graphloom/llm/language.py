@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import held_out
+from graphloom.llm.common import held_out, mix64
 
 _WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -75,14 +75,45 @@ class WordField:
         self.trans, self.start = np.zeros((k, k)), np.zeros(k)
         self.lexicon: dict[str, list[int]] = {}
 
-    def features(self, word: str) -> list[int]:
-        """Hashed affixes, character n-grams, the word itself and its lexicons."""
-        w = word.lower()
-        marked = f"<{w}>"
-        names = [f"p{w[:i]}" for i in (1, 2, 3) if len(w) >= i] + [f"s{w[-i:]}" for i in (1, 2, 3, 4) if len(w) >= i]
-        names += [marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1)]
-        names += [f"=l{k}" for k in self.lexicon.get(w, ())] + [f"=w{w}", "=b"]
-        return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % self.buckets for x in names]
+    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashed features of distinct words, as (buckets in the order of the words, number for each word).
+
+        They are the affixes (up to three characters in front and four
+        behind), the character 2- and 3-grams with the word's ends, the word
+        itself, its lexicons and a constant.
+        """
+        low = [w.lower() for w in words]
+        c = np.frombuffer("".join(f"<{w}>" for w in low).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        sizes = np.array([len(w) for w in low])
+        starts = np.concatenate([[0], np.cumsum(sizes + 2)[:-1]])
+        of = np.repeat(np.arange(len(low)), sizes + 2)
+        ids, codes = [], []
+
+        def add(tag: int, rows: np.ndarray, *chars: np.ndarray) -> None:
+            h = np.full(len(rows), tag, np.uint64)
+            for x in chars:
+                h = mix64(h) ^ x
+            ids.append(rows)
+            codes.append(mix64(h))
+
+        two = np.flatnonzero(of[:-1] == of[1:])
+        add(1, of[two], c[two], c[two + 1])
+        three = np.flatnonzero(of[:-2] == of[2:])
+        add(2, of[three], c[three], c[three + 1], c[three + 2])
+        for n in (1, 2, 3, 4):
+            rows = np.flatnonzero(sizes >= n)
+            if n < 4:
+                add(10 + n, rows, *(c[starts[rows] + 1 + i] for i in range(n)))
+            add(20 + n, rows, *(c[starts[rows] + sizes[rows] - i] for i in range(n)))
+        add(3, np.arange(len(low)), np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in low], np.uint64))
+        add(4, np.arange(len(low)))
+        told = [(i, k) for i, w in enumerate(low) for k in self.lexicon.get(w, ())]
+        if told:
+            rows, kinds = np.array(told).T
+            add(5, rows, kinds.astype(np.uint64))
+        row, code = np.concatenate(ids), np.concatenate(codes)
+        order = np.argsort(row, kind="stable")
+        return (code[order] % np.uint64(self.buckets)).astype(np.int64), np.bincount(row, minlength=len(low))
 
     def _splice(self, docs: list[tuple[list[str], int]], rng: np.random.Generator, sequences: int, length: int) -> list[list[tuple[str, int]]]:
         """Sequences of pieces of documents; each piece's language is drawn evenly."""
@@ -114,9 +145,8 @@ class WordField:
                 self.lexicon.setdefault(w, []).append(k)
         spliced = self._splice(docs, rng, sequences, length)
         vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for s in spliced for w, _ in s))}
-        feats = [self.features(w) for w in vocabulary]
-        sizes = np.array([len(f) for f in feats])
-        flat, first = np.concatenate(feats), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        flat, sizes = self.features(list(vocabulary))
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         x = np.array([[vocabulary[w] for w, _ in s] for s in spliced])
         y = np.array([[k for _, k in s] for s in spliced])
         labels = len(self.languages)
@@ -152,60 +182,74 @@ class WordField:
                 self.start -= step * ds / np.sqrt(gs)
         return self
 
-    def emissions(self, word: str) -> np.ndarray:
-        return self.weights[self.features(word)].sum(axis=0)
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """A row of label scores for each of some distinct words."""
+        flat, sizes = self.features(words)
+        return np.add.reduceat(self.weights[flat], np.cumsum(sizes) - sizes, axis=0)
 
     def tag(self, texts: list[str]) -> list[list[tuple[str, str, float]]]:
         """Each text's words with their likeliest language and its posterior."""
-        out = []
-        for words, post in zip([_WORD.findall(t or "") for t in texts], self.posteriors([_WORD.findall(t or "") for t in texts], {}), strict=True):
+        out, lists = [], [_WORD.findall(t or "") for t in texts]
+        for words, post in zip(lists, self.posteriors(lists, Emissions(self)), strict=True):
             best = post.argmax(axis=1)
             out.append([(w, self.languages[k], float(p[k])) for w, k, p in zip(words, best, post, strict=True)])
         return out
 
-    def posteriors(self, texts: list[list[str]], known: dict[str, int], rows: list[np.ndarray] | None = None, room: int = 200_000) -> list[np.ndarray]:
-        """Posterior matrices of word lists; ``known`` and ``rows`` keep emissions for the words met before."""
-        rows = [] if rows is None else rows
-        coded = []
-        for words in texts:
-            for w in words:
-                if w not in known:
-                    known[w] = len(rows)
-                    rows.append(self.emissions(w))
-            coded.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+    def posteriors(self, texts: list[list[str]], known: Emissions, room: int = 200_000) -> list[np.ndarray]:
+        """Posterior matrices of word lists; ``known`` keeps the emissions of words met before."""
+        coded = known.codes(texts)
         k = len(self.languages)
         out: list[np.ndarray] = [np.zeros((0, k))] * len(texts)
-        order = sorted((i for i in range(len(texts)) if texts[i]), key=lambda i: -len(texts[i]))
+        order = sorted((i for i in range(len(texts)) if texts[i] and k), key=lambda i: -len(texts[i]))
+        trans, start = self.trans.astype(np.float32), self.start.astype(np.float32)
         at = 0
         while at < len(order):
             longest = len(texts[order[at]])
             some = order[at : at + max(1, room // longest)]
             at += len(some)
             lengths = np.array([len(texts[i]) for i in some])
-            used, inverse = np.unique(np.concatenate([coded[i] for i in some]), return_inverse=True)
-            values = np.array([rows[u] for u in used])
             emit = np.zeros((longest, len(some), k), np.float32)
-            emit.transpose(1, 0, 2)[np.arange(longest)[None, :] < lengths[:, None]] = values[inverse]
-            post, _, _ = forward_backward(emit, self.trans.astype(np.float32), self.start.astype(np.float32), lengths)
+            for c, i in enumerate(some):
+                emit[: lengths[c], c] = known.table[coded[i]]
+            post, _, _ = forward_backward(emit, trans, start, lengths)
             for c, i in enumerate(some):
                 out[i] = post[: lengths[c], c]
         return out
 
 
+class Emissions(dict):
+    """Words met so far, by number, and the table of their emissions."""
+
+    def __init__(self, model: WordField):
+        super().__init__()
+        self.model, self.new = model, []
+        self.table = np.zeros((0, len(model.languages)), np.float32)
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+    def codes(self, texts: list[list[str]]) -> list[np.ndarray]:
+        out = [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in texts]
+        if self.new and self.model.languages:
+            self.table = np.concatenate([self.table, self.model.emissions(self.new)])
+            self.new = []
+        return out
+
+
 def _predict(batches: Iterator[pa.RecordBatch], model: WordField, keep: int = 300_000) -> Iterator[pa.RecordBatch]:
-    known: dict[str, int] = {}
-    rows: list[np.ndarray] = []
+    known = Emissions(model)
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
             texts = [_WORD.findall(t) if (t := x.as_py()) else [] for x in part.column(1)]
-            if len(rows) > keep:
-                known.clear()
-                rows.clear()
+            if len(known) > keep:
+                known = Emissions(model)
             langs, scores = [], []
-            for words, post in zip(texts, model.posteriors(texts, known, rows), strict=True):
+            for words, post in zip(texts, model.posteriors(texts, known), strict=True):
                 mass = post.sum(axis=0, dtype=np.float64)
-                best = int(mass.argmax()) if words and len(mass) else -1
+                best = int(mass.argmax()) if len(post) else -1
                 langs.append(model.languages[best] if best >= 0 else UNDETERMINED)
                 scores.append(min(1.0, float(mass[best] / len(words))) if best >= 0 else 0.0)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
