@@ -434,6 +434,61 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(knn.mass(_knn(spark, sf, 3).select("src", "dst", (1 / (1 + F.col("distance"))).alias("weight"))), "mass")
 
 
+# -- further scans and columns -----------------------------------------------------------------
+
+
+@query("membership_test", f"with {TRADE} select i::bigint as id, i in (select id from n) as active from (values (0), (24), (25), (-1)) t(i)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return tg.trade(spark, sf).active("node", [0, 24, 25, -1]).select("id", "active")
+
+
+@query("selector_filter_active", "select distinct n_nationkey::bigint as id from nation where n_nationkey in (3, 5)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    asked = spark.createDataFrame([(0, 5), (1, 99), (2, 3), (3, 5)], "pos long, id long")
+    return select.filter_active(tg.trade(spark, sf), "node", asked).select("id")
+
+
+@query("promote_to_end", f"with {TRADE} select id, (row_number() over (order by regionkey = 2, id) - 1)::bigint as place from n")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    g = tg.trade(spark, sf)
+    return select.promote_to_end(g.nodes.select("id", F.col("id").alias("pos")), select.select_nodes(g, "regionkey == 2"))
+
+
+@query("edge_end_attributes", f"with {TRADE} select p.id, a.name as src_name, b.name as dst_name from p join n a on a.id = src join n b on b.id = dst")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return attributes.edge_ends(tg.trade(spark, sf, sparse=True), "name").select("id", "src_name", "dst_name")
+
+
+@query("node_to_edge_single", f"with {TRADE} select p.id, b.regionkey as region from p join n b on b.id = dst")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return attributes.node_to_edge(tg.trade(spark, sf, sparse=True), "regionkey", "region", "dst").edges.select("id", "region")
+
+
+@query("define_and_write_attribute", f"with {TRADE} select id, case when regionkey = 1 then 7.5 else 0 end::double as score from n")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    g = tg.trade(spark, sf).define_attribute("node", "score", "double")
+    values = select.select_nodes(g, "regionkey == 1").withColumn("value", F.lit(7.5))
+    return g.set_values("node", "score", values).nodes.select("id", "score")
+
+
+@query("interpolate_vectors", "select vec_id as id, round(embedding[1]::double + (1 - exp(-20 / 200.0)) * (1 - embedding[1]::double), 4)::double as first from embeddings")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    g = tg.vectors(spark, sf)
+    goals = g.nodes.select("id", F.array_repeat(F.lit(1.0).cast("float"), 64).alias("value"))
+    moved, _ = attributes.interpolate(g, "node", "embedding", goals, 50.0, 200.0)
+    return moved.nodes.select("id", F.round(F.col("embedding")[0].cast("double"), 4).alias("first"))
+
+
+@query("category_dictionary", f"with {TRADE} select region as label, (row_number() over (order by region) - 1)::int as code from n group by region")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return attributes.category_codes(tg.trade(spark, sf).nodes, "region", "alphabetical")
+
+
+@query("top_components", f"{_REACH} select component, size, rank from q where rank <= 5")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return iterative.component_sizes(iterative.weak_components(tg.convo(spark, sf))).where("rank <= 5")
+
+
 # -- mutation log and files --------------------------------------------------------------------
 
 _BATCH = """

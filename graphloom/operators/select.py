@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.graph import Graph, GraphError
+from graphloom.graph import Graph, GraphError, numbered
 from graphloom.operators.components import component_labels
 from graphloom.plans.compiler import Compiled
 
@@ -79,6 +79,12 @@ def order_by(graph: Graph, scope: str, rows: DataFrame, *keys: str | tuple[str,
     return rows.orderBy(*columns, F.col("id").asc())
 
 
+def promote_to_end(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, place`` of rows ``(id, pos)`` with the given ids moved behind the others; both parts keep their order."""
+    moved = rows.join(ids.select("id", F.lit(1).alias("__moved")).distinct(), "id", "left").withColumn("__moved", F.coalesce("__moved", F.lit(0)))
+    return numbered(moved, ["__moved", "pos"], "place").select("id", "place")
+
+
 def _named(key: str) -> tuple[str, str]:
     if key.startswith("-"):
         return key[1:], "desc"
