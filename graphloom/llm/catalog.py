@@ -80,7 +80,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
+_WARC_SQL = """
+with d as (select page_id, sha1(coalesce(html, '')) as digest, octet_length(encode(coalesce(html, '')))::bigint as n from pages),
+g as (select digest, max(page_id) as target from d where n >= 1000 group by 1),
+r as (select page_id, n, d.digest, case when n >= 1000 and page_id < target then target end as target from d left join g on g.digest = d.digest)
+select page_id, n as payload_bytes, digest as payload_digest, case when target is null then 'response' else 'revisit' end as record_type, target as refers_to, true as verified from r
+"""
+
 SQL: dict[str, str] = {
+    "op4_warc": _WARC_SQL,
     "op7_pii": pii.reference_sql(),
     "op10_exact_top_k": topk.REFERENCE_SQL,
 }
