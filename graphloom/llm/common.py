@@ -48,6 +48,17 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
+def hash_sample(rows: DataFrame, rows_wanted: int, *keys: str) -> DataFrame:
+    """About ``rows_wanted`` of the distinct rows, chosen by a hash of ``keys``; all if there are fewer.
+
+    Each row decides for itself, so nothing but a count meets anywhere.
+    """
+    n = rows.count()
+    if n <= rows_wanted:
+        return rows.distinct()
+    return rows.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < int(rows_wanted / n * (1 << 40))).distinct()
+
+
 def sorted_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Regroup sorted batches so that no run of equal keys is cut; yields tables of whole runs.
 

@@ -6,8 +6,8 @@ over all its features, and a linear softmax on that average gives the label.
 Embeddings and softmax are trained jointly with Adagrad in numpy, so that an
 unseen misspelling is judged by the n-grams it shares with seen words.
 
-The model is fitted on the driver on at most ``max_rows`` labelled documents
-of at most ``max_chars`` characters each (a sample by hash of the id); its
+The model is fitted on the driver on about ``max_rows`` labelled documents of
+at most ``max_chars`` characters each (a sample by hash of the id); its
 size is fixed by ``buckets`` and ``dim``.  Scoring covers every whole text:
 averaging and softmax are linear up to the logits, so each word contributes a
 constant that executors keep while they meet it again.
@@ -19,7 +19,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial
 
 import numpy as np
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import held_out
+from graphloom.llm.common import hash_sample, held_out
 
 _TOKEN = re.compile(r"\w+")
 
@@ -51,23 +51,27 @@ class SubwordSoftmax:
         grams = [marked[i : i + n] for n in range(self.shortest, self.longest + 1) for i in range(len(marked) - n + 1)]
         return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % self.buckets for g in (marked + "w", *grams)]
 
-    def _bags(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All documents' features as (offsets, buckets, weights); weights of a document sum to 1."""
-        known: dict[str, list[int]] = {}
-        offsets, ids, weights = [0], [], []
+    def _bags(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Features of all words in a row, the number for each word, and each document's words with their weights.
+
+        A word's weight is its share of the document's features for each of
+        its own, so that the weighted sum over all features is their mean.
+        """
+        number: dict[str, int] = {}
+        flat, sizes, words, weights = [], [], [], []
         for text in texts:
-            count: Counter[int] = Counter()
-            for word, times in Counter(_TOKEN.findall(text.lower())).items():
-                feats = known.get(word)
-                if feats is None:
-                    feats = known[word] = self.features(word)
-                for f in feats:
-                    count[f] += times
-            total = sum(count.values()) or 1
-            ids.append(np.fromiter(count.keys(), np.int32, len(count)))
-            weights.append(np.fromiter(count.values(), np.float32, len(count)) / total)
-            offsets.append(offsets[-1] + len(count))
-        return np.array(offsets), np.concatenate(ids) if ids else np.zeros(0, np.int32), np.concatenate(weights) if weights else np.zeros(0, np.float32)
+            count = Counter(_TOKEN.findall(text.lower()))
+            for w in count:
+                if w not in number:
+                    number[w] = len(number)
+                    flat.append(np.array(self.features(w), np.int32))
+                    sizes.append(len(flat[-1]))
+            ids = np.fromiter((number[w] for w in count), np.int32, len(count))
+            times = np.fromiter(count.values(), np.float32, len(count))
+            total = float((times * np.array([sizes[i] for i in ids], np.float32)).sum()) if len(ids) else 1.0
+            words.append(ids)
+            weights.append(times / np.float32(total))
+        return np.concatenate(flat) if flat else np.zeros(0, np.int32), np.array(sizes, np.int64), words, weights
 
     def fit(self, texts: list[str], labels: list[int]) -> SubwordSoftmax:
         rng = np.random.default_rng(self.seed)
@@ -76,30 +80,35 @@ class SubwordSoftmax:
         share = (sum(labels) + 1) / (len(labels) + 2)
         self.bias = np.log(np.array([1 - share, share], np.float32))
         gE, gW, gb = np.full_like(self.E, 1e-8), np.full_like(self.W, 1e-8), np.full(2, 1e-8, np.float32)
-        offsets, ids, weights = self._bags(texts)
+        flat, sizes, words, weights = self._bags(texts)
+        first = np.cumsum(sizes) - sizes
         gold = np.eye(2, dtype=np.float32)[np.array(labels, int)] if labels else np.zeros((0, 2), np.float32)
         for epoch in range(self.epochs if len(set(labels)) == 2 else 0):
             rate = self.rate * (1 - epoch / self.epochs)
             order = rng.permutation(len(texts))
             for at in range(0, len(order), self.batch):
                 some = order[at : at + self.batch]
-                some = some[offsets[some + 1] > offsets[some]]
+                some = np.array([d for d in some if len(words[d])], np.int64)
                 if not len(some):
                     continue
-                span = np.concatenate([np.arange(offsets[d], offsets[d + 1]) for d in some])
-                doc = np.repeat(np.arange(len(some)), offsets[some + 1] - offsets[some])
-                touched, inverse = np.unique(ids[span], return_inverse=True)
-                w = weights[span]
-                rows = self.E[touched]
-                starts = np.concatenate([[0], np.cumsum(offsets[some + 1] - offsets[some])[:-1]])
-                mean = np.add.reduceat(rows[inverse] * w[:, None], starts, axis=0)
+                length = np.array([len(words[d]) for d in some])
+                used, inverse = np.unique(np.concatenate([words[d] for d in some]), return_inverse=True)
+                w = np.concatenate([weights[d] for d in some])[:, None]
+                doc = np.repeat(np.arange(len(some)), length)
+                starts = np.cumsum(sizes[used]) - sizes[used]
+                features = flat[np.repeat(first[used] - starts, sizes[used]) + np.arange(sizes[used].sum())]
+                per_word = np.add.reduceat(self.E[features], starts, axis=0)
+                mean = np.add.reduceat(per_word[inverse] * w, np.cumsum(length) - length, axis=0)
                 z = mean @ self.W + self.bias
                 p = np.exp(z - z.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
                 d = (p - gold[some]) / len(some)
-                back = (d @ self.W.T)[doc] * w[:, None]
-                grad = np.stack([np.bincount(inverse, back[:, c], len(touched)) for c in range(self.dim)], axis=1).astype(np.float32)
-                grad += self.decay * rows
+                back = (d @ self.W.T)[doc] * w
+                by_word = np.stack([np.bincount(inverse, back[:, c], len(used)) for c in range(self.dim)], axis=1)
+                touched, at_feature = np.unique(features, return_inverse=True)
+                spread = np.repeat(by_word, sizes[used], axis=0)
+                grad = np.stack([np.bincount(at_feature, spread[:, c], len(touched)) for c in range(self.dim)], axis=1).astype(np.float32)
+                grad += self.decay * self.E[touched]
                 gE[touched] += grad * grad
                 self.E[touched] -= rate * grad / np.sqrt(gE[touched])
                 dW = mean.T @ d
@@ -138,11 +147,11 @@ def _score(batches: Iterator[pa.RecordBatch], features, table: np.ndarray, bias:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_chars: int) -> tuple[list[str], list[int]]:
-    """At most ``max_rows`` labelled texts, by hash of the id; rows held out (crc32 of the id modulo 4 is 2) never."""
+    """About ``max_rows`` labelled texts, by hash of the id; rows held out (crc32 of the id modulo 4 is 2) never."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"), 4, 2)).select("doc_id", "toxic")
-    chosen = known.withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id", "toxic").limit(max_rows)
-    texts = docs.select("doc_id", "text").where(F.length("text").between(1, max_chars)).join(chosen, "doc_id")
-    rows = texts.select("at", "doc_id", "text", "toxic").toPandas().sort_values(["at", "doc_id", "toxic", "text"])
+    chosen = hash_sample(known, max_rows, "doc_id")
+    texts = docs.select("doc_id", "text").where(F.length("text").between(1, max_chars)).join(chosen, "doc_id").distinct()
+    rows = texts.toPandas().sort_values(["doc_id", "toxic", "text"])
     return rows.text.tolist(), rows.toxic.astype(int).tolist()
 
 
@@ -152,11 +161,11 @@ def score_documents(docs: DataFrame, model: SubwordSoftmax, text_col: str = "tex
     Null and empty texts get the score of an empty bag.  Rows are scored one
     by one, so repeated rows, null ids and further columns pass unchanged.
     """
-    table, bias = model.collapsed()
+    table, bias = model.collapsed()  # executors need no embeddings: a copy of the settings tells the features
     keep = docs.columns if keep is None else keep
     rows = docs.select(F.col(text_col).alias("__text"), *[F.col(f"`{c}`") for c in keep if c != name])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(partial(_score, features=model.features, table=table, bias=bias, name=name), ", ".join(filter(None, [schema, f"`{name}` double"])))
+    return rows.mapInArrow(partial(_score, features=replace(model).features, table=table, bias=bias, name=name), ", ".join(filter(None, [schema, f"`{name}` double"])))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_chars: int = 100_000, **settings) -> SubwordSoftmax:
