@@ -7,7 +7,7 @@ posterior, so code-switched text is labelled word by word; a document's
 language is the one with the largest posterior mass over its words.
 
 The field is trained on the driver by stochastic gradient on the conditional
-likelihood, on sequences spliced from pieces of at most ``max_rows`` sampled
+likelihood, on sequences spliced from pieces of about ``max_rows`` sampled
 documents, so that it sees switches.  A word's language in training is that of
 its document.  Prediction reads whole texts; sequences of like length run
 through the recursions side by side.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import held_out, mix64
+from graphloom.llm.common import hash_sample, held_out, mix64
 
 _WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -258,8 +258,8 @@ def _predict(batches: Iterator[pa.RecordBatch], model: WordField, keep: int = 30
 def fit_language(docs: DataFrame, max_rows: int = 2000, max_chars: int = 100_000, **settings) -> WordField:
     """A field fitted on a bounded sample of rows with a language; rows whose crc32 of the id modulo 3 is 1 are held out."""
     told = docs.where("doc_id is not null and lang is not null").where(~held_out(F.col("doc_id"), 3, 1)).where(F.length("text").between(1, max_chars))
-    chosen = told.select(F.xxhash64("doc_id").alias("at"), "doc_id", "text", "lang").orderBy("at", "doc_id", "text", "lang").limit(max_rows)
-    rows = chosen.toPandas()
+    chosen = hash_sample(told.select("doc_id", "text", "lang"), max_rows, "doc_id", "text")
+    rows = chosen.toPandas().sort_values(["doc_id", "text", "lang"])
     return WordField(sorted(set(rows.lang)), **settings).fit(rows.text.tolist(), rows.lang.tolist())
 
 
