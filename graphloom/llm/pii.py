@@ -11,6 +11,10 @@ between them; the lengths of both give the offsets in code points.  Texts that
 a cheap test rules out skip this.  The patterns are written so that no text
 makes them backtrack: possessive repeats, and starts only where the previous
 match ended or the run of characters begins.
+
+An IBAN is proposed by its head (country and check digits) alone, and its end
+is looked for among the blanks and the end of the run behind it, so that
+neither the words that follow nor a head before it hide a valid one.
 """
 
 from __future__ import annotations
@@ -23,6 +27,12 @@ from pyspark.sql import functions as F
 CUT = 0.5  #: least score of a span of a further kind
 BEFORE, AFTER = 50, 30  #: characters around a span that may hold context words
 BOOST = 0.4  #: what a context word adds to a score
+#: Characters of an IBAN without blanks, by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 
 
 @dataclass(frozen=True)
@@ -31,8 +41,8 @@ class Kind:
 
     name: str
     base: bool
-    pattern: str  #: Java's dialect
-    plain: str  #: the same language without look-around, for reference SQL
+    pattern: str  #: Java's dialect; of an IBAN the head, and as groups the run from there and a letter or digit after it
+    plain: str  #: the same language without look-around, for reference SQL; of an IBAN with the longest run behind the head
     hint: str  #: cheap necessary condition on the whole text
     score: float
     context: str  #: words that raise the score
@@ -43,7 +53,7 @@ KINDS = (
     Kind("ip", True, r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", 0.5, "ip|host|server|address|login"),
     Kind("card", True, r"(?:\G|(?<![0-9]))[0-9](?:[\x20-]?+[0-9]){11,}+", r"[0-9](?:[\x20-]?[0-9]){11,}", r"[0-9](?:[\x20-]?[0-9]){11}", 0.6, "card|credit|debit|visa|payment|account"),
     Kind("phone", True, r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", 0.5, "phone|tel|call|mobile|fax|number"),
-    Kind("iban", False, r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,}+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,}", r"[A-Z]{2}[0-9]{2}", 0.6, "iban|bank|account|transfer"),
+    Kind("iban", False, r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+)([A-Za-z0-9]?))[A-Z]{2}[0-9]{2}", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,}", r"[A-Z]{2}[0-9]{2}", 0.6, "iban|bank|account|transfer"),
     Kind("ssn", False, r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.2, "ssn|social|security"),
 )
 
@@ -74,14 +84,50 @@ def _valid(kind: str, hit: Column) -> Column:
         return F.when(n.between(12, 19), _luhn(_digits(hit))).otherwise(False)
     if kind == "phone":
         return n.between(9, 15)
-    if kind == "iban":
-        bare = F.replace(hit, F.lit(" "), F.lit(""))
-        return F.when(F.length(bare).between(15, 34), _mod97(bare)).otherwise(False)
     if kind == "ssn":
         return ~hit.rlike("^(?:000|666|9)|^...-00-|-0000$")
     return F.lit(True)
 
 
+def _bare(text: Column) -> Column:
+    return F.replace(text, F.lit(" "), F.lit(""))
+
+
+def _iban(run: Column, after: Column) -> Column:
+    """The IBAN at the beginning of a run, or null.
+
+    It ends at a blank or with the run, before anything but a letter or digit,
+    and has the check sum.  Of several ends the one at the country's length
+    counts, else the end of the whole run; countries that are not listed take
+    the last end.
+    """
+    listed = F.create_map(*[F.lit(x) for n, names in IBAN_LENGTHS.items() for name in names.split() for x in (name, n)])
+    length = F.try_element_at(listed, F.substring(run, 1, 2))
+
+    def end(words: Column, k: Column) -> Column:
+        hit = F.array_join(F.slice(words, 1, k), " ")
+        n = F.length(_bare(hit))
+        return F.struct((n == length).alias("fits"), (k == F.size(words)).alias("last"), n.alias("n"), hit.alias("hit"))
+
+    ends = F.flatten(F.transform(F.array(F.split(run, " ")), lambda words: F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: end(words, k))))
+    ends = F.filter(ends, lambda e: e["n"].between(15, 34) & ~(e["last"] & (after != "")) & (length.isNull() | e["fits"] | e["last"]))
+    return F.array_max(F.filter(ends, lambda e: _mod97(_bare(e["hit"]))))["hit"]
+
+
+def _apart(spans: Column) -> Column:
+    """Spans in order without those that begin within one before."""
+    none = F.filter(spans, lambda _: F.lit(False))
+    return F.aggregate(spans, none, lambda acc, s: F.when(s["start"] < F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)), acc).otherwise(F.concat(acc, F.array(s))))
+
+
+def _ibans(text: Column, kind: Kind, heads: Column) -> Column:
+    """The spans of the IBANs that begin with some of the heads."""
+    group = lambda k: F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(k))
+    hits = F.zip_with(group(1), group(2), _iban)
+    whole = F.zip_with(heads, hits, lambda s, hit: F.struct(s["start"].alias("start"), (s["start"] + F.length(hit)).alias("end"), hit.alias("hit")))
+    return _apart(F.filter(whole, lambda s: s["hit"].isNotNull()))
+
+
 def _spans(text: Column, kind: Kind) -> Column:
     """Confirmed spans of one kind: ``start, rank, kind, end, hit``."""
     hits = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
@@ -95,7 +141,8 @@ def _spans(text: Column, kind: Kind) -> Column:
         more = F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("out"))
         return F.when(x["hit"].isNull(), acc).otherwise(more)
 
-    found = F.filter(F.aggregate(parts, empty, step, lambda acc: acc["out"]), lambda s: _valid(kind.name, s["hit"]))
+    proposed = F.aggregate(parts, empty, step, lambda acc: acc["out"])
+    found = _ibans(text, kind, proposed) if kind.name == "iban" else F.filter(proposed, lambda s: _valid(kind.name, s["hit"]))
     rank = [k.name for k in KINDS].index(kind.name)
     named = F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), s["end"].alias("end"), F.lit(kind.base).alias("base"), _score(text, kind, s).alias("score")))
     hint = F.contains(text, F.lit(kind.hint)) if kind.hint == "@" else text.rlike(kind.hint)

@@ -222,6 +222,27 @@ def test_personal_data(spark, docs, clashing, empty):
     assert pii.personal_data(empty).collect() == []
 
 
+def test_ibans_whatever_stands_around_them(spark):
+    de, gb, fr = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "FR14 2004 1010 0505 0001 3M02 606"
+    cases = [
+        (f"IBAN {de} Please pay", [de]),
+        (f"IBAN {de} BIC COBADEFFXXX", [de]),
+        (f"bank {de} IS MINE", [de]),
+        (f"bank {de.replace(' ', '')} 2 times", [de.replace(" ", "")]),
+        (f"{gb} {fr} Paris", [gb, fr]),
+        (f"REF AB12 CDEF GHIJ KLMN {de}", [de]),
+        (f"𝔘 {fr}", [fr]),
+        (f"bank {de[:-1]}1 BIC COBADEFFXXX", []),
+        (f"bank {gb}EUR", []),
+        ("AA00 " * 10_000 + f"and {de} X", [de]),
+    ]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    for r in pii.personal_data(frame).collect():
+        text, wanted = cases[r["doc_id"]]
+        found = [x.split(":") for x in r["spans"].split(",") if x]
+        assert [text[int(a) : int(b)] for kind, a, b in found if kind == "iban"] == wanted, text
+
+
 def test_redaction(spark):
     frame = spark.createDataFrame([(1, "x a@b.cc y +1 (017) 555-7713"), (2, None), (3, "plain")], "doc_id long, text string")
     assert [r["text"] for r in pii.redacted(frame).orderBy("doc_id").collect()] == ["x [EMAIL] y [PHONE]", None, "plain"]
