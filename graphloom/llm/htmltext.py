@@ -26,7 +26,9 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 #: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template title textarea select option button iframe object svg math canvas audio video".split())
+RAW = frozenset("script style noscript template title textarea select button iframe object svg math canvas audio video".split())
+#: The same for elements whose end tag may be left out; a block ends them too, so that one left open hides nothing after it.
+CHOICES = frozenset("datalist optgroup option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that begin and end a block.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -37,7 +39,7 @@ MAIN_TAGS = frozenset("article main".split())
 BOILER_CUES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner nav navigation navbar menu breadcrumb breadcrumbs sidebar side aside footer foot masthead comment comments commentlist disqus reply replies respond discussion related recommended recommendations share sharing social cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login popup modal overlay widget pagination pager tags toolbar search form copyright legal disclaimer complementary contentinfo dialog skip byline".split())
 MAIN_CUES = frozenset("article articlebody content main post entry story body text maincontent postcontent entrycontent".split())
 #: An open element of the first kind ends when one of the second kind opens.
-ENDS = {"p": BLOCK - {"body", "html"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option"})}
+ENDS = {"p": BLOCK - {"body", "html"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"})}
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "in_boiler", "heading", "item")
 
 
@@ -72,23 +74,28 @@ def blocks_of(page: str | None) -> list[Block]:
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple[str, int, bool]] = []  # name, stand, whether within one of CHOICES
     pieces: list[str] = []
     linked: list[str] = []
     anchors = at = 0
 
+    def close_from(names: frozenset[str]) -> None:
+        cut = next((i for i, (n, *_) in enumerate(stack) if n in names), None)
+        if cut is not None:
+            del stack[cut:]
+
     def flush() -> None:
         text = " ".join("".join(pieces).split())
         if text:
             chars = len(text.replace(" ", ""))
-            names = {n for n, _ in stack}
+            names = {n for n, *_ in stack}
             stand = stack[-1][1] if stack else 0
             out.append(Block(text, text.count(" ") + 1, min(1.0, len("".join("".join(linked).split())) / chars), stand == 1, stand == -1, not HEADING.isdisjoint(names), "li" in names))
         pieces.clear()
         linked.clear()
 
     def put(text: str) -> None:
-        if text:
+        if text and not (stack and stack[-1][2]):
             text = html.unescape(text) if "&" in text else text
             pieces.append(text)
             if anchors:
@@ -112,8 +119,10 @@ def blocks_of(page: str | None) -> list[Block]:
             put(" ")
             continue
         if name in BLOCK:
+            if stack and stack[-1][2]:
+                close_from(CHOICES)
             flush()
-        elif name == "br":
+        elif name == "br" or name in CHOICES:
             put(" ")
         if name == "a":
             anchors = 0 if closing else 1
@@ -125,11 +134,13 @@ def blocks_of(page: str | None) -> list[Block]:
         elif name not in VOID:
             while stack and name in ENDS.get(stack[-1][0], ()):
                 stack.pop()
-            if name in BLOCK and any(n == "p" for n, _ in stack):  # inline elements left open within a paragraph end with it
-                cut = next(i for i, (n, _) in enumerate(stack) if n == "p")
-                del stack[cut:]
+            if name in BLOCK:  # inline elements left open within a paragraph end with it
+                close_from(frozenset({"p"}))
+            elif name in CHOICES and stack and stack[-1][2]:
+                close_from(CHOICES if name == "datalist" else CHOICES - {"datalist"} if name == "optgroup" else frozenset({"option"}))
             if not attributes.endswith("/"):
-                stack.append((name, _stand(name, attributes, stack[-1][1] if stack else 0)))
+                within, choice = stack[-1][1:] if stack else (0, False)
+                stack.append((name, _stand(name, attributes, within), choice or name in CHOICES))
     flush()
     return out
 

@@ -78,6 +78,24 @@ def test_main_text(pages, no_pages):
     assert htmltext.extract_text(no_pages).collect() == []
 
 
+def test_options_without_end_tags_hide_nothing_after_them():
+    tree = htmltext.trained_tree()
+    article = "<article><p>" + "word " * 40 + "</p></article>"
+    for choices in (
+        "<datalist id=q><option value=a><option value=b></datalist>",
+        "<datalist id=q><option value=a>",
+        "<form><input list=q><datalist id=q><optgroup><option>one<optgroup><option>two</datalist></form>",
+        "<div><option>one</div>",
+        "<p><span><option>one</span>",
+        "<option>one",
+        "<option>one</option>",
+    ):
+        for page in (choices + article, choices + article + "<div><option>late</option></div>"):
+            assert htmltext.main_text(page, tree).split() == ["word"] * 40, page
+            assert not {"one", "two", "late"} & {w for b in htmltext.blocks_of(page) for w in b.text.split()}, page
+    assert [b.text for b in htmltext.blocks_of("<div>a<span><option>b<b>c</span>d<option>e</option>f<br>g</div>")] == ["a d f g"]
+
+
 def test_main_text_without_marks():
     tree = htmltext.trained_tree()
     body = "This is a long paragraph of an article whose page has no telling elements at all and it goes on for more than twenty words."
