@@ -307,7 +307,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("betweenness_weighted")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(iterative.betweenness_centrality(tg.trade(spark, sf, sparse=True), "weight", sources=[0, 5, 10]), "betweenness")
+    return rounded(iterative.betweenness_centrality(tg.trade(spark, sf, sparse=True), "weight"), "betweenness")
 
 
 def _hindex(rounds: int) -> str:

@@ -1,6 +1,8 @@
 import pytest
-from helpers import column, graph
+from helpers import column, graph, ids
 
+from graphloom import testgraphs
+from graphloom.catalog import QUERIES
 from graphloom.graph import GraphError
 from graphloom.operators import communities, generators, iterative, knn, measures
 
@@ -122,3 +124,33 @@ def test_neighbour_graphs(spark):
     rows = spark.createDataFrame([(0, [1, 2], [0.1, 0.4]), (1, [0, 2], [0.1, 0.2]), (2, [1, 0], [0.2, 0.4])], "src long, indices array<long>, distances array<double>")
     g = knn.supplied_knn(spark.range(3), rows)
     assert g.edges.count() == 6 and sorted(set(column(g.edges, "umap_knn_rank"))) == [0, 1]
+
+
+def test_betweenness_weighted_runs_from_all_nodes(spark, data):
+    import heapq
+
+    g = testgraphs.trade(spark, data, sparse=True)
+    nodes, out = ids(g.nodes), {}
+    for r in g.edges.where("src <> dst").collect():
+        out.setdefault(r["src"], []).append((r["dst"], r["weight"]))
+    dist, paths = {}, {}
+    for s in nodes:
+        d, heap, order = {}, [(0, s)], []
+        while heap:
+            x, v = heapq.heappop(heap)
+            if v not in d:
+                d[v] = x
+                order.append(v)
+                for u, w in out.get(v, ()):
+                    heapq.heappush(heap, (x + w, u))
+        k = dict.fromkeys(order, 0) | {s: 1}
+        for v in order:
+            for u, w in out.get(v, ()):
+                k[u] += k[v] * (d[v] + w == d[u])
+        dist[s], paths[s] = d, k
+    n, wanted = len(nodes), []
+    for v in nodes:
+        through = ((s, t) for s in nodes if s != v and v in dist[s] for t in dist[s] if t not in (s, v) and t in dist[v] and dist[s][v] + dist[v][t] == dist[s][t])
+        wanted.append(sum(paths[s][v] * paths[v][t] / paths[s][t] for s, t in through) / ((n - 1) * (n - 2)))
+    assert column(QUERIES["betweenness_weighted"](spark, data), "betweenness") == pytest.approx(wanted, abs=1e-6)
+    assert sum(x > 0 for x in wanted) > 3
