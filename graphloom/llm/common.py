@@ -59,6 +59,20 @@ def hash_sample(rows: DataFrame, rows_wanted: int, *keys: str) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < int(rows_wanted / n * (1 << 40))).distinct()
 
 
+def hash_sample_by(rows: DataFrame, rows_wanted: int, least: int, group: str, *keys: str) -> DataFrame:
+    """As ``hash_sample``, but of every value of ``group`` about ``least`` rows at least, all if there are fewer, and never none."""
+    whole, draw = 1 << 40, F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
+    counts = rows.groupBy(group).agg(F.count("*").alias("n"), F.min(draw).alias("first")).collect()  # one row a value
+    n = sum(r["n"] for r in counts)
+    if n <= rows_wanted:
+        return rows.distinct()
+    cut = int(rows_wanted / n * whole)
+    own = {r[group]: max(min(whole, int(least / r["n"] * whole)), r["first"] + 1) for r in counts}
+    rare = [F.lit(x) for value, k in own.items() if k > cut for x in (value, k)]
+    limit = F.coalesce(F.try_element_at(F.create_map(*rare), F.col(group)), F.lit(cut)) if rare else F.lit(cut)
+    return rows.where(draw < limit).distinct()
+
+
 def sorted_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Regroup sorted batches so that no run of equal keys is cut; yields tables of whole runs.
 

@@ -8,7 +8,7 @@ language is the one with the largest posterior mass over its words.
 
 The field is trained on the driver by stochastic gradient on the conditional
 likelihood, on sequences spliced from pieces of about ``max_rows`` sampled
-documents, so that it sees switches.  A word's language in training is that of
+documents (and of rare languages up to about ``LEAST`` each), so that it sees switches.  A word's language in training is that of
 its document.  Prediction reads whole texts; sequences of like length run
 through the recursions side by side.
 """
@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import hash_sample, held_out, mix64
+from graphloom.llm.common import hash_sample_by, held_out, mix64
 
 _WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
+LEAST = 30  #: rows of a language that the training sample holds at least, unless there are fewer
 
 
 def forward_backward(emit: np.ndarray, trans: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,9 +257,15 @@ def _predict(batches: Iterator[pa.RecordBatch], model: WordField, keep: int = 30
 
 
 def fit_language(docs: DataFrame, max_rows: int = 2000, max_chars: int = 100_000, **settings) -> WordField:
-    """A field fitted on a bounded sample of rows with a language; rows whose crc32 of the id modulo 3 is 1 are held out."""
+    """A field fitted on a bounded sample of rows with a language; rows whose crc32 of the id modulo 3 is 1 are held out.
+
+    The sample has about ``max_rows`` rows, each language at its share, and
+    languages whose share is below ``LEAST`` rows are raised to about that
+    many: at most ``max_rows`` + ``LEAST`` a language, about.  Every language
+    of the rows to learn from is learned.
+    """
     told = docs.where("doc_id is not null and lang is not null").where(~held_out(F.col("doc_id"), 3, 1)).where(F.length("text").between(1, max_chars))
-    chosen = hash_sample(told.select("doc_id", "text", "lang"), max_rows, "doc_id", "text")
+    chosen = hash_sample_by(told.select("doc_id", "text", "lang"), max_rows, LEAST, "lang", "doc_id", "text")
     rows = chosen.toPandas().sort_values(["doc_id", "text", "lang"])
     return WordField(sorted(set(rows.lang)), **settings).fit(rows.text.tolist(), rows.lang.tolist())
 

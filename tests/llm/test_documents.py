@@ -117,6 +117,18 @@ def test_language(docs, clashing, empty, rows):
     assert {r["lang_pred"] for r in language.identify_language(docs.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned(spark):
+    rng = np.random.default_rng(3)
+    stems = {"en": ["house", "walk", "river", "green"], "de": ["haus", "gehen", "fluss", "grün"], "fi": ["talo", "kävellä", "joki", "vihreä"]}
+    langs = ["fi" if i in (0, 3000) else "de" if i % 150 == 0 else "en" for i in range(6000)]
+    rows = [(i, " ".join(rng.choice(stems[x], 12)), x) for i, x in enumerate(langs)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit_language(docs, max_rows=60)
+    assert model.languages == ["de", "en", "fi"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify_language(docs, max_rows=60).collect()}
+    assert [got[i] for i in range(6000)] == langs
+
+
 def test_forward_backward_equals_enumeration():
     import itertools
 
