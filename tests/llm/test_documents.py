@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import language, minhash, mixing, pieces, pii, toxicity
@@ -52,6 +53,15 @@ def test_near_duplicates(docs, rows, k, threshold):
     assert sizes[71] == sizes[72] == sizes[73] == 0 and sizes[74] == sizes[75] == 1
 
 
+def test_every_tree_yields_candidates():
+    sig = np.arange(128, dtype=np.uint16)[None, :]
+    for seed in range(1, 30):
+        frame = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([sig.tobytes()], pa.binary())], ["v", "sig"])
+        for trees in (1, 10):
+            found = [len(next(minhash._first_nodes(iter([frame]), t, 1, 5 / 3, seed))) for t in range(1, trees + 1)]
+            assert found[0] > 0 and all(b > a for a, b in zip(found, found[1:], strict=False)), seed
+
+
 def test_near_duplicates_of_a_hot_group(spark):
     """Hundreds of copies that part slowly, most of them not linked with each other directly."""
     import random
