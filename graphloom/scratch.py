@@ -47,6 +47,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        self._saved: dict[str, DataFrame] = {}
         self.base = f"{shared_dir(spark)}/graphloom/{label}-{uuid.uuid4().hex}"
         atexit.register(self._forget)
 
@@ -57,13 +58,19 @@ class Scratch:
         """Write ``df`` and return it as read back: a plan without the past."""
         where = f"{self.path(name)}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(where)
-        return self.spark.read.schema(df.schema).parquet(where)
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete the table behind a frame that ``save`` returned."""
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if self.base.split("://")[-1] in folder:
-                delete_path(self.spark, folder)
+        out = self.spark.read.schema(df.schema).parquet(where)
+        self._saved[where] = out
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete the tables behind frames that ``save`` returned; nothing may read them any more."""
+        for where in [w for w, f in self._saved.items() if any(f is g for g in frames)]:
+            del self._saved[where]
+            delete_path(self.spark, where)
+
+    def keep_only(self, *frames: DataFrame) -> None:
+        """Delete all tables but those behind the given frames."""
+        self.drop(*[f for f in self._saved.values() if not any(f is g for g in frames)])
 
     def _forget(self) -> None:
         with contextlib.suppress(Exception):
