@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.scratch import Scratch
+
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -73,6 +75,70 @@ def hash_sample_by(rows: DataFrame, rows_wanted: int, least: int, group: str, *k
     return rows.where(draw < limit).distinct()
 
 
+def spare(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column is called so (whatever its case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(columns: Iterable[str]) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+PIECE_BITS = 1 << 15  #: bits of a piece of a Bloom filter, which one bitmap aggregate holds
+PIECES = 8192  #: pieces at most, 32 MB in all: enough for 26 million keys at 10 bits each
+TESTS = 4  #: bits that a key sets in its piece
+
+
+def split_by_keys(rows: DataFrame, key: Column, keys: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key (a long) is surely none of ``keys``' only column, and those whose key may be one.
+
+    The test is a Bloom filter, built by one aggregate for each of its pieces
+    and broadcast: at most ``PIECES`` of ``PIECE_BITS`` bits.  With up to 26
+    million keys about one row in a hundred is in the second part by chance,
+    with more keys more, so a join of the second part is always exact and
+    rows of the first need none.
+    """
+    (name,) = keys.columns
+    pieces = max(1, min(PIECES, -(-keys.count() * 10 // PIECE_BITS)))
+    h, piece, bits = spare(rows.columns, "h", "piece", "bits")
+    mixed = lambda c: F.xxhash64(c, F.lit(1))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(pieces)).cast("int")
+    bit = lambda c, i: F.shiftrightunsigned(mixed(c), 15 * i).bitwiseAND(F.lit(PIECE_BITS - 1))
+    own = keys.select(part(F.col(name)).alias(piece), F.col(name).alias(h)).repartition(piece)
+    own = own.select(piece, F.explode(F.array(*[bit(F.col(h), i) for i in range(TESTS)])).alias(bits))
+    made = scratch.save(own.groupBy(piece).agg(F.bitmap_construct_agg(bits).alias(bits)), "filter")
+    keyed = rows.withColumn(h, key)
+    keyed = keyed.join(F.broadcast(made.withColumnRenamed(piece, f"{piece}_")), part(F.col(h)) == F.col(f"{piece}_"), "left")
+    byte = lambda i: F.conv(F.hex(F.substring(bits, (F.shiftright(bit(F.col(h), i), 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    hit = F.lit(True)
+    for i in range(TESTS):
+        hit = hit & (F.getbit(byte(i), bit(F.col(h), i).bitwiseAND(F.lit(7)).cast("int")) == 1)
+    hit = F.coalesce(hit, F.lit(False))
+    return tuple(keyed.where(side).select(quoted(rows.columns)) for side in (~hit, hit))  # type: ignore[return-value]
+
+
+HEAVY = 10_000  #: a key is heavy if more than one row in so many has it: there are fewer such keys than that
+
+
+def join_per_key(rows: DataFrame, per: DataFrame, key: str, count: str, total: int, scratch: Scratch) -> DataFrame:
+    """``rows`` joined with their key's row of ``per``, whose ``count`` tells how many of the ``total`` rows have the key.
+
+    Heavy keys, fewer than ``HEAVY``, meet their rows by broadcast, so that no
+    task gets all rows of one; the others are shuffled.
+    """
+    heavy = scratch.save(per.where(F.col(count) * HEAVY > total), "heavy")
+    if not heavy.limit(1).count():
+        return rows.join(per, key)
+    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(per.where(F.col(count) * HEAVY <= total), key)
+    return rows.join(F.broadcast(heavy), key).unionByName(light)
+
+
 def sorted_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Regroup sorted batches so that no run of equal keys is cut; yields tables of whole runs.
 

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import mix64, run_starts, sorted_runs, words_of
+from graphloom.llm.common import join_per_key, mix64, quoted, run_starts, sorted_runs, spare, split_by_keys, words_of
 from graphloom.operators.components import component_labels
 from graphloom.scratch import Scratch
 
@@ -118,7 +118,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int, positions: int) -> Iter
                 lo.append(b)
                 sig.append(_minwise(s, mul, add).tobytes() if len(s) else None)
                 bag.append(_bag(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.binary()), pa.array(bag, pa.binary())], ["doc_id", "n", "hi", "lo", "sig", "bag"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.binary()), pa.array(bag, pa.binary())], ["doc_id", "text_hash", "n", "hi", "lo", "sig", "bag"])
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dtype: type) -> np.ndarray:
@@ -220,8 +220,11 @@ def _shares(bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return both / np.maximum(left + right - both, 1), (halvings[:, None] == 0) & (halvings[None, :] == 0)
 
 
-def _worthwhile(i: np.ndarray, j: np.ndarray, comp: np.ndarray, bags: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
-    """Of a leaf's plausible pairs: a forest of those that are links all but surely, and every doubtful one between its trees."""
+def _worthwhile(i: np.ndarray, j: np.ndarray, comp: np.ndarray, bags: list[np.ndarray], threshold: int, hide: bool) -> list[tuple[int, int, bool]]:
+    """Of a leaf's plausible pairs: a forest of those that are links all but surely, and every doubtful one between its trees.
+
+    Without ``hide`` all plausible pairs.  The flag marks pairs that hide others.
+    """
     rows, back = np.unique(np.concatenate([i, j]), return_inverse=True)
     x, y = back[: len(i)], back[len(i) :]
     share, whole = _shares([bags[r] for r in rows])
@@ -239,13 +242,13 @@ def _worthwhile(i: np.ndarray, j: np.ndarray, comp: np.ndarray, bags: list[np.nd
     for p in np.flatnonzero(s >= least)[np.argsort(-(s[s >= least] + sure[s >= least]), kind="stable")]:
         a, b = root(int(comp[i[p]])), root(int(comp[j[p]]))
         if a != b:
-            out.append((i[p], j[p]))
-            if sure[p]:
+            out.append((i[p], j[p], hide and sure[p]))
+            if hide and sure[p]:
                 tree[max(a, b)] = min(a, b)
     return out
 
 
-def _leaf_pairs(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+def _leaf_pairs(batches: Iterator[pa.RecordBatch], threshold: int, hide: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of different components within small nodes; rows come sorted by (node, block)."""
     for t in sorted_runs(batches, ["node", "block"]):
         node, block, v, comp, n = (t.column(c).to_numpy() for c in ("node", "block", "v", "comp", "n"))
@@ -254,7 +257,7 @@ def _leaf_pairs(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[p
         bags = [np.frombuffer(x.as_buffer(), np.uint16) for x in t.column("bag")]
         starts = run_starts([node, block])
         sizes = np.diff(np.append(starts, len(node)))
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int, bool]] = []
         for size in np.unique(sizes):
             if size < 2:
                 continue
@@ -273,11 +276,11 @@ def _leaf_pairs(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[p
                 leaf = np.searchsorted(starts, i, "right")
                 cuts = run_starts([leaf])
                 for a, b in zip(cuts, np.append(cuts[1:], len(i)), strict=True):
-                    out += _worthwhile(i[a:b], j[a:b], comp, bags, threshold)
+                    out += _worthwhile(i[a:b], j[a:b], comp, bags, threshold, hide)
         if out:
-            a, b = v[np.array(out).T]
-            pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            i, j = np.array([p[:2] for p in out], np.int64).T
+            columns = [node[i], block[i], np.maximum(v[i], v[j]), np.minimum(v[i], v[j]), np.array([p[2] for p in out], bool)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "block", "a", "b", "sure"])
 
 
 def _cell_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -319,28 +322,38 @@ def _confirm(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.R
 class _Join:
     """One run: what its steps share."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, k: int, threshold: int, positions: int, trees: int, branch: float, depth: int, seed: int):
-        self.docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        self.k, self.threshold, self.positions, self.trees, self.branch, self.depth, self.seed = k, threshold, positions, trees, branch, depth, seed
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, k: int, threshold: int, positions: int, trees: int, branch: float, depth: int, seed: int, join_ids: bool):
+        text = F.col(text_col)
+        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+        self.k, self.threshold, self.positions, self.trees, self.branch, self.depth, self.seed, self.join_ids = k, threshold, positions, trees, branch, depth, seed, join_ids
         self.scratch = Scratch(docs.sparkSession, "minhash")
 
     def sketch(self) -> None:
-        rows = self.docs.mapInArrow(partial(_sketches, k=self.k, positions=self.positions), "doc_id long, n long, hi long, lo long, sig binary, bag binary")
-        self.rows = self.scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+        rows = self.docs.select("*", F.xxhash64("text").alias("text_hash")).mapInArrow(partial(_sketches, k=self.k, positions=self.positions), "doc_id long, text_hash long, n long, hi long, lo long, sig binary, bag binary")
+        whole = self.scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+        self.rows = self.scratch.save(whole.select("doc_id", "text_hash", "n", "hi", "lo", "row"), "slim")
         named = self.rows.where("doc_id is not null and n > 0")
-        first = named.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "row")).alias("f"))
-        self.classes = self.scratch.save(first.select("hi", "lo", F.col("f.doc_id").alias("first_id"), F.col("f.row").alias("v")), "classes")
-        reps = self.rows.select(F.col("row").alias("v"), "doc_id", "n", "hi", "lo", "sig", "bag").join(self.classes.select("v"), "v", "left_semi")
-        self.reps = self.scratch.save(reps, "reps")
+        first = named.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "row")).alias("f"), F.count("*").alias("c"))
+        self.classes = self.scratch.save(first.select("hi", "lo", F.col("f.doc_id").alias("first_id"), F.col("f.row").alias("v"), "c"), "classes")
+        # the few rows that stand for no class are told by a filter, so that sketches are not shuffled
+        again = join_per_key(named.withColumn("class", F.xxhash64("hi", "lo")), self.classes.where("c > 1").select(F.xxhash64("hi", "lo").alias("class"), F.col("hi").alias("h"), F.col("lo").alias("l"), "v", "c"), "class", "c", self.rows.count(), self.scratch)
+        copies = self.scratch.save(again.where("hi = h and lo = l and row <> v").select("row"), "copies")
+        one, maybe = split_by_keys(whole.where("doc_id is not null and n > 0"), F.col("row"), copies, self.scratch)
+        reps = one.unionByName(maybe.join(copies, "row", "left_anti"))
+        self.reps = self.scratch.save(reps.select(F.col("row").alias("v"), "doc_id", "n", "hi", "lo", "sig", "bag"), "reps")
+        self.scratch.keep_only(self.rows, self.classes, self.reps)
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Pairs ``(a, b)`` whose full sets reach the threshold; each b is the hub of its cells."""
-        pairs = self.scratch.save(pairs, "pairs")
-        cells = pairs.groupBy("b").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
-        leaves = pairs.join(cells, "b").select(F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("cells")).cast("int").alias("cell"), F.col("a").alias("v"), F.lit(1).alias("leaf"))
-        hubs = cells.select(F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("b").alias("v"), F.lit(0).alias("leaf"))
-        wanted = leaves.unionByName(hubs).join(self.reps.select("v", "doc_id", "hi", "lo"), "v")
-        rows = self.docs.join(wanted, "doc_id").select("text", "hi", "lo", "hub", "cell", "v", "leaf")
+        """Of saved pairs ``(a, b)`` those whose full sets reach the threshold; each b is the hub of its cells."""
+        hubs = pairs.groupBy("b").agg(F.count("*").alias("c")).withColumn("cells", F.ceil(F.col("c") / CELL).cast("int"))
+        hubs = self.scratch.save(hubs, "hubs")
+        leaves = join_per_key(pairs.select("a", "b"), hubs, "b", "c", pairs.count(), self.scratch)
+        leaves = leaves.select(F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("cells")).cast("int").alias("cell"), F.col("a").alias("v"), F.lit(1).alias("leaf"))
+        heads = hubs.select(F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("b").alias("v"), F.lit(0).alias("leaf"))
+        wanted = self.scratch.save(leaves.unionByName(heads).join(self.reps.select("v", "doc_id", "hi", "lo"), "v"), "wanted")
+        # only texts that some pair asks for are shuffled
+        _, texts = split_by_keys(self.docs, F.col("doc_id"), self.scratch.save(wanted.select("doc_id").distinct(), "asked"), self.scratch)
+        rows = texts.join(wanted, "doc_id").select("text", "hi", "lo", "hub", "cell", "v", "leaf")
         rows = rows.mapInArrow(partial(_cell_rows, k=self.k), "hub long, cell int, v long, leaf int, s binary")
         rows = rows.repartition("hub", "cell").sortWithinPartitions("hub", "cell", "leaf")
         return self.scratch.save(rows.mapInArrow(partial(_confirm, threshold=self.threshold), "a long, b long"), "links")
@@ -350,10 +363,12 @@ class _Join:
         nodes = self.reps.select("v", "sig").mapInArrow(partial(_first_nodes, trees=self.trees, depth=self.depth, branch=self.branch, seed=self.seed), "node long, v long")
         keys = self.scratch.save(nodes, "nodes")
         sizes = keys.groupBy("node").agg(F.count("*").alias("size"), F.min("v").alias("first")).where("size > 1")
-        self.live = self.scratch.save(keys.join(sizes, "node"), "live")
-        self.scratch.drop(keys)
+        sizes = self.scratch.save(sizes, "sizes")
+        _, shared = split_by_keys(keys, F.col("node"), sizes.select("node"), self.scratch)
+        self.live = self.scratch.save(join_per_key(shared, sizes, "node", "size", keys.count(), self.scratch), "live")
+        self.scratch.drop(keys, sizes)
         pairs = self.live.where("v <> first").groupBy(F.col("v").alias("a"), F.col("first").alias("b")).agg(F.count("*").alias("shared"))
-        return self._plausible(pairs.where("shared > 1").select("a", "b"))
+        return self.scratch.save(self._plausible(pairs.where("shared > 1").select("a", "b")), "pairs")
 
     def _plausible(self, pairs: DataFrame) -> DataFrame:
         """Drop star candidates whose sketches are too unlike to be confirmed."""
@@ -364,18 +379,19 @@ class _Join:
         return rows.mapInArrow(partial(_star_pairs, threshold=self.threshold), "a long, b long")
 
     def stragglers(self, labels: DataFrame) -> DataFrame:
-        """Candidates between different components in nodes that hold several."""
+        """Links between different components in nodes that hold several."""
         known = self.reps.select("v", "n").join(labels, "v", "left").select("v", "n", F.coalesce("comp", "v").alias("comp"))
         known = self.scratch.save(known, "known")
         rows = self.live.select("node", "v", F.lit(None).cast("long").alias("parent"))
         found, dense = [], []
         while True:
-            rows = rows.join(known, "v")
+            rows = self.scratch.save(rows.join(known, "v"), "labelled")
             per = rows.groupBy("node", "comp").agg(F.count("*").alias("c"), F.max("parent").alias("parent"))
-            of = per.groupBy("node").agg(F.sum("c").alias("size"), F.max("parent").alias("parent"), F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top"))
-            of = of.where("comps > 1").select("node", "size", F.col("top.comp").alias("main"), (F.col("size") > SHRINK * F.col("parent")).alias("stuck"))
-            rows = self.scratch.save(rows.drop("parent").join(of, "node"), "mixed")
-            large = self._with_density(rows.where(F.col("size") > LEAF))
+            of = per.groupBy("node").agg(F.sum("c").alias("size"), F.max("parent").alias("parent"), F.count("*").alias("comps"))
+            of = of.where("comps > 1").select("node", "size", (F.col("size") > SHRINK * F.col("parent")).alias("stuck"))
+            of = self.scratch.save(of, "mixed")
+            rows = self.scratch.save(join_per_key(rows.drop("parent"), of, "node", "size", rows.count(), self.scratch), "rows")
+            large = self._with_density(rows.where(F.col("size") > LEAF), of.where(F.col("size") > LEAF))
             leaf = rows.where(F.col("size") <= LEAF).select("node", F.lit(0).alias("block"), "v", "comp", "n", F.lit(True).alias("minor"))
             found.append(leaf)
             dense.append(large.where("dense").select("node", "v", "comp", "n"))
@@ -385,12 +401,23 @@ class _Join:
             more = more.join(self.reps.select("v", "sig"), "v").select("node", "v", "parent", "sig")
             rows = self.scratch.save(more.mapInArrow(partial(_next_nodes, branch=self.branch), "node long, v long, parent long"), "deeper")
         leaves = reduce(DataFrame.unionByName, [*found, self._regions(reduce(DataFrame.unionByName, dense))])
+        leaves = self.scratch.save(leaves, "leaves")
+        listed = self.scratch.save(self._leaf_pairs(leaves, True), "listed")
+        links = self.confirmed(self.scratch.save(listed.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"), "pairs"))
+        # a pair that hid others and is no link after all: its leaf's pairs are all looked at
+        failed = listed.where("sure").join(links, ["a", "b"], "left_anti").select("node", "block").distinct()
+        failed = self.scratch.save(failed, "failed")
+        if failed.limit(1).count():
+            every = self._leaf_pairs(leaves.join(failed, ["node", "block"], "left_semi"), False).select("a", "b").distinct()
+            links = links.unionByName(self.confirmed(self.scratch.save(every.join(listed, ["a", "b"], "left_anti"), "pairs")))
+        return links
+
+    def _leaf_pairs(self, leaves: DataFrame, hide: bool) -> DataFrame:
         sk = self.reps.select("v", "sig", "bag").mapInArrow(_low_bytes, "v long, sk binary, bag binary")
-        leaves = leaves.join(sk, "v").repartition("node", "block").sortWithinPartitions("node", "block")
-        pairs = leaves.mapInArrow(partial(_leaf_pairs, threshold=self.threshold), "a long, b long")
-        return pairs.distinct()
+        rows = leaves.join(sk, "v").repartition("node", "block").sortWithinPartitions("node", "block")
+        return rows.mapInArrow(partial(_leaf_pairs, threshold=self.threshold, hide=hide), "node long, block int, a long, b long, sure boolean")
 
-    def _with_density(self, large: DataFrame) -> DataFrame:
+    def _with_density(self, large: DataFrame, nodes: DataFrame) -> DataFrame:
         """Large nodes' rows with ``dense``: whether a further descent would hardly part them.
 
         The mean similarity of about 2 * LEAF members tells how much a child
@@ -401,7 +428,8 @@ class _Join:
         some = large.where(chance).select("node", "v").join(self.reps.select("v", "sig"), "v").select("node", "sig")
         shares = some.repartition("node").sortWithinPartitions("node").mapInArrow(_mean_similarity, "node long, share double")
         dense = F.coalesce("stuck", F.lit(False)) | (F.coalesce("share", F.lit(0.0)) > SHRINK)
-        return self.scratch.save(large.join(shares, "node", "left").withColumn("dense", dense).drop("share"), "large")
+        flags = self.scratch.save(nodes.join(shares, "node", "left").select("node", F.col("size").alias("count"), dense.alias("dense")), "flags")
+        return self.scratch.save(join_per_key(large.drop("stuck"), flags, "node", "count", large.count(), self.scratch).drop("count"), "large")
 
     def _regions(self, dense: DataFrame) -> DataFrame:
         """Cells in which the rows outside a region's largest component meet all its rows.
@@ -410,13 +438,15 @@ class _Join:
         covering of it replaces those of its nodes.
         """
         dense = self.scratch.save(dense, "dense")
-        edges = dense.join(dense.groupBy("node").agg(F.min("v").alias("first")), "node").select(F.col("v").alias("a"), F.col("first").alias("b")).distinct()
-        of = component_labels(edges, scratch=self.scratch).withColumnRenamed("comp", "node")
+        firsts = self.scratch.save(dense.groupBy("node").agg(F.min("v").alias("first"), F.count("*").alias("size")), "firsts")
+        edges = join_per_key(dense.select("node", "v"), firsts, "node", "size", dense.count(), self.scratch)
+        of = component_labels(edges.select(F.col("v").alias("a"), F.col("first").alias("b")), scratch=self.scratch).withColumnRenamed("comp", "node")
         rows = self.scratch.save(dense.select("v", "comp", "n").distinct().join(of, "v"), "regions")
         per = rows.groupBy("node", "comp").agg(F.count("*").alias("c"))
         sums = per.groupBy("node").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top"))
         across, down = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil((F.col("size") - F.col("top.c")) / BLOCK).cast("int")
-        rows = rows.join(sums.select("node", across.alias("across"), down.alias("down"), F.col("top.comp").alias("main")), "node").where("down > 0")
+        sums = self.scratch.save(sums.select("node", "size", across.alias("across"), down.alias("down"), F.col("top.comp").alias("main")), "sums")
+        rows = self.scratch.save(join_per_key(rows, sums, "node", "size", rows.count(), self.scratch).where("down > 0"), "asked")
         cell = lambda i, j: (F.col(i) * F.col("across") + F.col(j)).alias("block")
         own = lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
         asked = rows.where("comp <> main").withColumn("i", own("down")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
@@ -426,18 +456,26 @@ class _Join:
     def run(self) -> DataFrame:
         self.sketch()
         links = self.confirmed(self.stars())
-        rest = self.confirmed(self.stragglers(component_labels(links, scratch=self.scratch)))
-        # an id that several rows carry with different texts joins their classes
-        shared = self.rows.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
-        again = self.rows.join(shared, "doc_id", "left_semi").where("n > 0").join(self.classes, ["hi", "lo"]).select("doc_id", "v")
-        again = again.join(again.groupBy("doc_id").agg(F.min("v").alias("b")), "doc_id").select(F.col("v").alias("a"), "b").where("a <> b")
-        labels = component_labels(links.unionByName(rest).unionByName(again), scratch=self.scratch)
+        links = links.unionByName(self.stragglers(component_labels(links, scratch=self.scratch)))
+        if self.join_ids:  # an id that several rows carry with different texts joins their classes
+            named = self.rows.where("doc_id is not null and n > 0")
+            shared = named.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
+            again = join_per_key(named.select("doc_id", "hi", "lo"), self.scratch.save(shared, "shared"), "doc_id", "c", self.rows.count(), self.scratch)
+            again = again.select("doc_id", "hi", "lo").distinct().join(self.classes, ["hi", "lo"]).select("doc_id", "v")
+            links = links.unionByName(again.join(again.groupBy("doc_id").agg(F.min("v").alias("b")), "doc_id").select(F.col("v").alias("a"), "b").where("a <> b"))
+        labels = component_labels(links, scratch=self.scratch)
         of = self.classes.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-        least = of.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-        of = of.join(least, "comp").select("hi", "lo", "component_id")
-        out = self.rows.select("doc_id", "n", "hi", "lo").join(of, ["hi", "lo"], "left")
-        component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
-        return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        least = of.groupBy("comp").agg(F.min(F.struct("first_id", "hi", "lo")).alias("top"))
+        of = of.join(least, "comp").select(F.xxhash64("hi", "lo").alias("class"), F.col("hi").alias("h"), F.col("lo").alias("l"), "c", "top")
+        worded = self.rows.where("doc_id is not null and n > 0").withColumn("class", F.xxhash64("hi", "lo"))
+        out = join_per_key(worded, self.scratch.save(of, "of"), "class", "c", self.rows.count(), self.scratch).where("hi = h and lo = l")
+        own = F.lit(True) if self.join_ids else (F.col("hi") == F.col("top.hi")) & (F.col("lo") == F.col("top.lo"))
+        named = [F.col("n").alias("n_shingles"), "text_hash"]
+        out = out.select("doc_id", *named, F.col("top.first_id").alias("component_id"), ((F.col("doc_id") == F.col("top.first_id")) & own).alias("kept"))
+        alone = self.rows.where("doc_id is null or n = 0").select("doc_id", *named, F.when(F.col("n") == 0, F.col("doc_id")).alias("component_id"), F.lit(True).alias("kept"))
+        done = self.scratch.save(out.unionByName(alone), "groups")
+        self.scratch.keep_only(done)
+        return done.select("doc_id", "n_shingles", "component_id", "kept", "text_hash")
 
 
 def _mean_similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -468,19 +506,49 @@ def _star_pairs(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[p
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: int = 80, positions: int = 128, trees: int = 10, branch: float = 5 / 3, depth: int = 2, seed: int = 1) -> DataFrame:
-    """Groups of near-duplicates: ``doc_id, n_shingles, component_id, kept``, one row per input row.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: int = 80, positions: int = 128, trees: int = 10, branch: float = 5 / 3, depth: int = 2, seed: int = 1, join_ids: bool = True) -> DataFrame:
+    """Groups of near-duplicates: ``doc_id, n_shingles, component_id, kept, text_hash``, one row per input row.
 
     ``k`` words make a shingle and ``threshold`` is the least Jaccard
     similarity of a link in percent (documents are lower-cased over A-Z and
     split at ASCII white space).  ``component_id`` is the smallest id that a
     document reaches over links, itself included; ``kept`` marks the documents
-    whose id that is.
+    whose id that is.  ``text_hash`` is xxhash64 of the row's text.
 
     Null, empty and blank texts have no shingles and link with nothing; they
     are kept.  Rows with a null id link with nothing, have a null component and
-    are kept.  Repeated ids are one document with all their texts; each of
-    their rows is returned.  Other columns are ignored.  An empty table gives
-    an empty result.  Texts of any length are shingled whole.
+    are kept.  Repeated ids are one document with all their texts, unless
+    ``join_ids`` is false: then every text stands for itself, and of rows with
+    the component's id only those of its least fingerprint are kept.  Each row
+    is returned.  Other columns are ignored.  An empty table gives an empty
+    result.  Texts of any length are shingled whole.
+    """
+    return _Join(docs, id_col, text_col, k, threshold, positions, trees, branch, depth, seed, join_ids).run()
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """One row of each group of near-duplicates, with all columns; texts that stay are not shuffled.
+
+    Rows are judged by their texts: rows that share an id but not a text stay
+    apart.  Of rows of the same id and the same words one stays, that of the
+    least hash of its text and then of its row.  Rows without words or without
+    an id all stay.
     """
-    return _Join(docs, id_col, text_col, k, threshold, positions, trees, branch, depth, seed).run()
+    scratch = Scratch(docs.sparkSession, "undoubled")
+    groups = near_duplicates(docs, id_col, text_col, join_ids=False, **settings).where("doc_id is not null and n_shingles > 0")
+    per = groups.groupBy("doc_id", "text_hash").agg(F.max("component_id").alias("component_id"), F.max("kept").alias("kept"), F.count("*").alias("c"))
+    per = scratch.save(per, "texts")
+    least = per.where("kept").groupBy("doc_id").agg(F.min("text_hash").alias("first"), F.count("*").alias("texts"))
+    odd = per.join(least.where("texts > 1").select("doc_id", "first"), "doc_id", "left")
+    stays = F.col("kept") & (F.col("first").isNull() | (F.col("first") == F.col("text_hash")))
+    odd = scratch.save(odd.where(~stays | (F.col("c") > 1)).select("doc_id", "text_hash", stays.alias("stays")), "odd")
+    hashed, of, text, stays, row, order = spare(docs.columns, "hashed", "of", "text", "stays", "row", "order")
+    key = lambda i, h: F.xxhash64(i, h)
+    clear, maybe = split_by_keys(docs.withColumn(hashed, F.xxhash64(text_col)), key(F.col(id_col).cast("long"), F.col(hashed)), odd.select(key(F.col("doc_id"), F.col("text_hash")).alias("key")), scratch)
+    told = odd.toDF(of, text, stays)
+    same = (F.col(of) == F.col(id_col)) & (F.col(text) == F.col(hashed))
+    hashable = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    some = maybe.join(told, same).where(stays).select(F.col(of), F.col(text), F.struct(*quoted(docs.columns)).alias(row), F.xxhash64(*quoted(hashable)).alias(order))
+    once = some.groupBy(of, text).agg(F.min_by(row, order).alias(row)).select(f"{row}.*")
+    others = maybe.join(told, same, "left_anti")
+    return clear.select(quoted(docs.columns)).unionByName(others.select(quoted(docs.columns))).unionByName(once)
