@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import WORD, uniforms
+from graphloom.llm.common import WORD, quoted, spare, uniforms
 from graphloom.scratch import Scratch
 
 ROWS = 10_000  #: documents of a group at the first level, on average
@@ -131,16 +131,9 @@ def _table(rows: list[list], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns[:7], pa.array(np.where(done, 0.0, f)), pa.array(copies.astype(np.int32)), pa.array(done)], [*names[:9], "done"])
 
 
-def rounded_copies(rows: DataFrame, scratch: Scratch, seed: int = 1) -> DataFrame:
-    """``doc_id, tag, size, source_size, target, copies`` for rows of ``doc_id, tag, size, source``."""
-    targets = scratch.save(source_targets(rows.select("source", "size"), scratch), "targets")
-    wanted = F.when(F.col("source_size") > 0, F.least(F.lit(MOST), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    named = targets.withColumnRenamed("source", "of")
-    todo = rows.join(named, F.col("source").eqNullSafe(F.col("of")))
-    groups = F.ceil(F.col("n") / ROWS)
-    todo = todo.select("rank", F.pmod(F.xxhash64("doc_id", "tag"), groups).cast("long").alias("bucket"), "doc_id", "tag", "size", "source_size", "target", (wanted - F.floor(wanted)).alias("fraction"), F.floor(wanted).cast("int").alias("copies"))
-    most = targets.agg(F.max("n")).first()[0] or 0
-    buckets, level, parts = -(-most // ROWS), 0, []
+def _reduced(todo: DataFrame, buckets: int, level: int, scratch: Scratch, seed: int) -> DataFrame:
+    """All rows of ``todo`` with their copies: groups are rounded, residuals go up the tree."""
+    parts = []
     while True:
         dealt = todo.repartition("rank", "bucket").sortWithinPartitions("rank", "bucket", "doc_id", "tag", "size")
         step = scratch.save(dealt.mapInArrow(partial(_round, level=level, seed=seed), _OUT), "rounded")
@@ -158,6 +151,23 @@ def rounded_copies(rows: DataFrame, scratch: Scratch, seed: int = 1) -> DataFram
     return out.select("doc_id", "tag", "size", "source_size", "target", "copies")
 
 
+def _wanted() -> Column:
+    """How often a source's documents are wanted."""
+    return F.when(F.col("source_size") > 0, F.least(F.lit(MOST), F.col("target") / F.col("source_size"))).otherwise(0.0)
+
+
+def rounded_copies(rows: DataFrame, scratch: Scratch, seed: int = 1) -> DataFrame:
+    """``doc_id, tag, size, source_size, target, copies`` for rows of ``doc_id, tag, size, source``."""
+    targets = scratch.save(source_targets(rows.select("source", "size"), scratch), "targets")
+    wanted = _wanted()
+    named = targets.withColumnRenamed("source", "of")
+    todo = rows.join(named, F.col("source").eqNullSafe(F.col("of")))
+    groups = F.ceil(F.col("n") / ROWS)
+    todo = todo.select("rank", F.pmod(F.xxhash64("doc_id", "tag"), groups).cast("long").alias("bucket"), "doc_id", "tag", "size", "source_size", "target", (wanted - F.floor(wanted)).alias("fraction"), F.floor(wanted).cast("int").alias("copies"))
+    most = targets.agg(F.max("n")).first()[0] or 0
+    return _reduced(todo, -(-most // ROWS), 0, scratch, seed)
+
+
 def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every document.
 
@@ -173,16 +183,95 @@ def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """The mix itself: each document as often as the mix takes it, with all its columns.
+def _round_in_place(batches: Iterator[pa.RecordBatch], seed: int, names: list[str], held: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """One pass over whole documents: rows come out with their copies as soon as these are known.
+
+    Columns before the documents' own: key, draw, rank, size, fraction, copies; ``names`` are those of the marks before them in the result.
+    A document of each source stays behind until a later one settles it; what
+    is left at the end, or beyond ``held`` sources, comes out as open.
+    """
+    carried: dict[int, list] = {}  # by source: key, size, fraction, copies and the document as a batch of one row
+    for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
+        draws, (key, rank, size) = batch.column(1).to_numpy().astype(np.uint64), (batch.column(i).to_pylist() for i in (0, 2, 3))
+        fraction, copies = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+        u = uniforms(draws * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 1_000_003 + 1)).tolist()
+        final: list[int | None] = [None] * batch.num_rows
+        late: list[tuple[pa.RecordBatch, int]] = []
+        here: dict[int, int] = {}  # by source: the row of this batch that it carries
+        for r in range(batch.num_rows):
+            f = _snap(fraction[r])
+            if size[r] == 0:
+                f = float(u[r] < f)
+            if f in (0.0, 1.0):
+                final[r] = copies[r] + int(f)
+                continue
+            fraction[r], source = f, rank[r]
+            if source in here:
+                q = here[source]
+                fraction[q], fraction[r] = transfer(fraction[q], size[q], f, size[r], u[r])
+                if fraction[q] in (0.0, 1.0):
+                    final[q] = copies[q] + int(fraction[q])
+                    del here[source]
+            elif source in carried:
+                old = carried[source]
+                old[2], fraction[r] = transfer(old[2], old[1], f, size[r], u[r])
+                if old[2] in (0.0, 1.0):
+                    late.append((old[4], old[3] + int(old[2])))
+                    del carried[source]
+            if fraction[r] in (0.0, 1.0):
+                final[r] = copies[r] + int(fraction[r])
+            elif source not in here and source not in carried:
+                here[source] = r
+        for source, r in here.items():
+            carried[source] = [key[r], size[r], fraction[r], copies[r], batch.take(pa.array([r])).select(batch.schema.names[6:])]
+        chosen = [r for r, n in enumerate(final) if n is not None]
+        yield _marked(batch.take(pa.array(chosen, pa.int64())).select(batch.schema.names[6:]), names, [(0, 0, 0, 0.0, final[r], False) for r in chosen])
+        for row, n in late:
+            yield _marked(row, names, [(0, 0, 0, 0.0, n, False)])
+        while len(carried) > held:
+            source = next(iter(carried))
+            k, s, f, n, row = carried.pop(source)
+            yield _marked(row, names, [(k, source, s, f, n, True)])
+    for source, (k, s, f, n, row) in carried.items():
+        yield _marked(row, names, [(k, source, s, f, n, True)])
+
+
+def _marked(rows: pa.RecordBatch, names: list[str], marks: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.bool_()]
+    columns = [pa.array(c, k) for c, k in zip(list(zip(*marks, strict=True)) or [()] * 6, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([*columns, *rows.columns], [*names, *rows.schema.names])
+
+
+_MARKS = ("key", "rank", "size", "fraction", "copies", "open")
+
+
+def mixed_documents(docs: DataFrame, seed: int = 1, sources_at_once: int = 1_000_000) -> DataFrame:
+    """The mix itself: each row as often as the mix takes it (0, 1 or 2 times), with all its columns.
+
+    Texts are not shuffled: every partition rounds its own documents in one
+    pass and leaves one open document of each source at most; only the open
+    ones go up the reduction tree.  Targets are broadcast up to
+    ``sources_at_once`` sources and joined by shuffle beyond.
 
-    Documents without words are taken by the same fractions.  Rows that are
-    alike in id, text and source are one document of their joint size.
+    Null and empty texts have size 0 and are taken by the same fractions, each
+    by its own draw.  Repeated rows and null ids are rows like others.  Reruns
+    over the same files agree.  An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    tagged = docs.withColumn("__tag", F.xxhash64("text", "source"))
-    rows = tagged.groupBy("doc_id", F.col("__tag").alias("tag"), "source").agg(F.sum(word_count(F.col("text"))).alias("size"))
-    plan = rounded_copies(scratch.save(rows.select("doc_id", "tag", "size", "source"), "sized"), scratch, seed)
-    plan = plan.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("tag").alias("__of"), "copies").withColumnRenamed("copies", "__copies")
-    out = tagged.join(plan, tagged["doc_id"].eqNullSafe(plan["__id"]) & (tagged["__tag"] == plan["__of"]))
-    return out.withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).select(docs.columns)
+    size = word_count(F.col("text"))
+    targets = scratch.save(source_targets(docs.select("source", size.alias("size")), scratch), "targets")
+    few = targets.count() <= sources_at_once
+    names = spare(docs.columns, *_MARKS, "of", "draw")
+    key, rank, words, fraction, copies, open_, of, draw = names
+    wanted = targets.select(F.col("source").alias(of), F.col("rank").alias(rank), _wanted().alias(fraction))
+    told = docs.withColumn(words, size).join(F.broadcast(wanted) if few else wanted, F.col(of).eqNullSafe(docs["source"]))
+    told = told.select(F.monotonically_increasing_id().alias(key), F.xxhash64("doc_id", "text").alias(draw), rank, words, (F.col(fraction) - F.floor(fraction)).alias(fraction), F.floor(fraction).cast("int").alias(copies), *quoted(docs.columns))
+    schema = ", ".join([f"{key} long, {rank} long, {words} long, {fraction} double, {copies} int, {open_} boolean", *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)])
+    marked = scratch.save(told.mapInArrow(partial(_round_in_place, seed=seed, names=names[: len(_MARKS)]), schema), "marked")
+    todo = marked.where(open_).select(F.col(rank).alias("rank"), F.floor(F.shiftright(F.col(key), 33) / FAN).cast("long").alias("bucket"), F.col(key).alias("doc_id"), F.lit(0).cast("long").alias("tag"), F.col(words).alias("size"), F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.col(fraction).alias("fraction"), F.col(copies).alias("copies"))
+    todo = scratch.save(todo, "open")
+    buckets = (todo.agg(F.max("bucket")).first()[0] or 0) + 1
+    last = _reduced(todo, buckets, 1, scratch, seed).select(F.col("doc_id").alias(key), F.col("copies").alias(of))
+    settled = marked.where(open_).join(last, key).withColumn(copies, F.col(of)).select(marked.columns)
+    out = marked.where(~F.col(open_)).unionByName(settled).where(F.col(copies) > 0)
+    return out.select(F.explode(F.sequence(F.lit(1), F.col(copies))).alias(of), *quoted(docs.columns)).select(quoted(docs.columns))
