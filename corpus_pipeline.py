@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.catalog import PIECE_MODEL
 from graphloom.llm.common import table
-from graphloom.llm.minhash import near_duplicates
+from graphloom.llm.minhash import without_near_duplicates
 from graphloom.llm.mixing import mixed_documents
 from graphloom.llm.pieces import PieceModel, encode_pieces
 from graphloom.llm.pii import redacted
@@ -29,17 +29,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8); of rows with the same id, one.
+    """One row of each group of near-duplicate texts (five words, 0.8).
 
-    Documents without words and rows with a null id stay.
+    Rows are judged by their texts, so rows of one id with different texts stay
+    apart.  Rows without words and rows with a null id all stay; an empty table
+    gives no rows; other columns pass.
     """
-    scratch = Scratch(spark, "pipeline-dedup")
-    kept = scratch.save(near_duplicates(docs).where("kept").select("doc_id"), "kept")
-    named = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    out = docs.join(named, "doc_id").select(*docs.columns, "__rows")
-    once = out.where("__rows = 1").drop("__rows")
-    again = out.where("__rows > 1").drop("__rows").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where("doc_id is null"))
+    return without_near_duplicates(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
