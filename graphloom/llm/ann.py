@@ -1,17 +1,21 @@
 """Approximate nearest neighbours with a hash-prefix forest.
 
-Every tree gives a vector a string of ``BITS`` bits, the signs of its
-projections on random directions, and is a sorted array of these strings.  A
-query descends in every tree to its longest matching prefix and then all trees
-ascend together, one bit at a time, until the ranges that share that prefix
-hold enough candidates; these are ranked by the inner product itself, in
-double precision.  For inner products of vectors of unlike lengths, vectors
-get one more component that makes them all as long as the longest, so that
-angles rank like inner products.
-
-The index holds every vector: they are dealt into shards by a hash of the id
-and each shard is a forest of its own; queries visit all shards.  Equal
-vectors are one entry with all their ids, so ties come out by id.
+Every tree turns vectors by a random matrix and gives each a string of
+``LETTERS`` letters: the signed axes nearest to the turned vector, the nearest
+first.  The tree is the sorted array of these strings.  A query descends in
+every tree to its longest matching prefixes, and all trees ascend together,
+one letter at a time, until the ranges that share the prefix hold enough
+entries.  The rows found are ranked by the number of trees that found them;
+again from the top downward, counts are taken in until there are about
+``reach`` times the square root of the number of vectors, over all shards.
+These candidates are ranked by the inner product itself, in double precision.
+So the candidates' share of the vectors falls as the table grows.  For inner
+products of vectors of unlike lengths, vectors get one more component that
+makes them all as long as the longest, so that angles rank like inner products.
+
+The index holds every vector: they are dealt into shards by a hash and each
+shard is a forest of its own; queries visit all shards.  Equal vectors are one
+entry with all their ids, so ties come out by id.
 """
 
 from __future__ import annotations
@@ -26,9 +30,10 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.vectors import Cell, best, cells, dealt, usable
 
-BITS = 64
-TREES = 24
-REACH = 1.2  #: candidates, counted in every tree that finds them, over the vectors of a shard
+LETTERS = 4
+AXES = 128  #: of a turned vector at most, so that a letter fits in a byte
+TREES = 192
+REACH = 10.0  #: candidates of a query over the square root of the number of vectors
 
 
 class PrefixForest:
@@ -38,53 +43,61 @@ class PrefixForest:
         rng = np.random.default_rng(seed)
         norms = np.sqrt((x * x).sum(axis=1))
         longest = norms.max(initial=0.0)
-        self.directions = rng.standard_normal((trees, BITS, x.shape[1] + 1))
+        width = x.shape[1] + 1
+        self.turns = rng.standard_normal((trees, width, min(width, AXES))).astype(np.float32)
         lifted = np.hstack([x, np.sqrt(np.maximum(longest * longest - norms * norms, 0.0))[:, None]])
         self.order, self.keys = [], []
-        for d in self.directions:
-            keys = self._strings(lifted, d)
+        for turn in self.turns:
+            keys = self._strings(lifted, turn)
             order = np.argsort(keys, kind="stable")
-            self.order.append(order)
+            self.order.append(order.astype(np.int32))
             self.keys.append(keys[order])
 
     @staticmethod
-    def _strings(x: np.ndarray, d: np.ndarray) -> np.ndarray:
-        bits = np.packbits(x @ d.T > 0, axis=1)
-        return bits.view(">u8").ravel().astype(np.uint64)
+    def _strings(x: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        """The strings as integers, the first letter in the highest byte; a letter is 1 to 256 less one: axis and sign."""
+        size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        y = (x / np.where(size > 0, size, 1.0)).astype(np.float32) @ turn
+        far, rows = np.abs(y), np.arange(len(x))
+        out = np.zeros(len(x), np.uint64)
+        for _ in range(LETTERS):
+            axis = far.argmax(axis=1)
+            letter = axis * 2 + (y[rows, axis] > 0)
+            out = out << np.uint64(8) | letter.astype(np.uint64)
+            far[rows, axis] = -1.0
+        return out
 
     def candidates(self, queries: np.ndarray, wanted: int) -> Iterator[np.ndarray]:
-        """For each query the rows that the trees find before their ranges hold ``wanted`` entries in all."""
-        n = len(self.keys[0])
+        """For each query about ``wanted`` rows: those that most trees find by the prefixes in common."""
         lifted = np.hstack([queries, np.zeros((len(queries), 1))])
-        strings = [self._strings(lifted, d) for d in self.directions]
-        deepest = np.zeros(len(queries), np.int64)
-        for keys, s in zip(self.keys, strings, strict=True):  # descend: the longest prefix is next to the query's place
-            place = np.searchsorted(keys, s)
-            for beside in (np.clip(place - 1, 0, n - 1), np.clip(place, 0, n - 1)):
-                apart = keys[beside] ^ s
-                bit = np.zeros(len(s), np.int64)
-                for shift in (32, 16, 8, 4, 2, 1):
-                    high = apart >> np.uint64(shift) > 0
-                    bit += np.where(high, shift, 0)
-                    apart = np.where(high, apart >> np.uint64(shift), apart)
-                deepest = np.maximum(deepest, np.where(keys[beside] == s, BITS, BITS - 1 - bit))
-        level = deepest.copy()
-        low, high = np.zeros((len(strings), len(queries)), np.int64), np.zeros((len(strings), len(queries)), np.int64)
-        open_ = np.arange(len(queries))
-        while len(open_):  # ascend in all trees at once
-            free = np.where(level[open_] >= BITS, np.uint64(0), (np.uint64(1) << (np.uint64(BITS) - np.minimum(level[open_], BITS).astype(np.uint64)) % np.uint64(64)) - np.uint64(1))
-            free = np.where(level[open_] == 0, np.uint64(0xFFFFFFFFFFFFFFFF), free)
+        strings = [self._strings(lifted, turn) for turn in self.turns]
+        for at in range(0, len(queries), 64):
+            yield from self._found([s[at : at + 64] for s in strings], wanted)
+
+    def _found(self, strings: list[np.ndarray], wanted: int) -> Iterator[np.ndarray]:
+        n, q = len(self.keys[0]), len(strings[0])
+        low, high = np.zeros((len(strings), q), np.int64), np.zeros((len(strings), q), np.int64)
+        open_ = np.arange(q)
+        for level in range(LETTERS, 0, -1):  # ascend in all trees at once
+            free = np.uint64((1 << 8 * (LETTERS - level)) - 1)
             for t, (keys, s) in enumerate(zip(self.keys, strings, strict=True)):
                 low[t, open_] = np.searchsorted(keys, s[open_] & ~free, "left")
                 high[t, open_] = np.searchsorted(keys, s[open_] | free, "right")
-            short = ((high - low)[:, open_].sum(axis=0) < wanted) & (level[open_] > 0)
-            open_ = open_[short]
-            level[open_] -= 1
-        for q in range(len(queries)):
-            seen = np.zeros(n, bool)
-            for t, order in enumerate(self.order):
-                seen[order[low[t, q] : high[t, q]]] = True
-            yield np.flatnonzero(seen)
+            open_ = open_[(high - low)[:, open_].sum(axis=0) < 4 * wanted]
+            if not len(open_):
+                break
+        size = high - low
+        votes = np.zeros((q, n), np.int32)
+        for k in range(q):
+            parts = [order[a:b] for order, a, b in zip(self.order, low[:, k].tolist(), high[:, k].tolist(), strict=True) if b > a]
+            if parts:
+                votes[k] = np.bincount(np.concatenate(parts), minlength=n)
+        for k in range(q):
+            if n <= wanted or not size[:, k].any():
+                yield np.arange(n)
+                continue
+            least = np.partition(votes[k], n - wanted)[n - wanted]
+            yield np.flatnonzero(votes[k] >= least)
 
 
 def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -95,7 +108,7 @@ def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return total
 
 
-def search_cell(cell: Cell, k: int, trees: int, reach: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def search_cell(cell: Cell, k: int, trees: int, share: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For each query of the cell: id, tag, and its k best of the shard with their scores."""
     rows = np.ascontiguousarray(cell.vectors)
     _, first, inverse = np.unique(rows.view(f"V{rows.shape[1] * 8}").ravel(), return_index=True, return_inverse=True)
@@ -104,7 +117,7 @@ def search_cell(cell: Cell, k: int, trees: int, reach: float) -> Iterator[tuple[
     x = rows[first]
     forest = PrefixForest(x, trees)
     asked = np.array([v for _, _, v in cell.queries])
-    enough = max(int(reach * len(x)), trees * (k + 1))
+    enough = max(int(np.ceil(share * len(x))), 2 * (k + 1))
     for (query, tag, q), found in zip(cell.queries, forest.candidates(asked, enough), strict=True):
         near = x[found] @ q
         if len(found) > k + 1:
@@ -120,11 +133,11 @@ def search_cell(cell: Cell, k: int, trees: int, reach: float) -> Iterator[tuple[
         yield query, tag, ids[top], scores[top]
 
 
-def _search(batches: Iterator[pa.RecordBatch], k: int, trees: int, reach: float) -> Iterator[pa.RecordBatch]:
+def _search(batches: Iterator[pa.RecordBatch], k: int, trees: int, share: float) -> Iterator[pa.RecordBatch]:
     for cell in cells(batches):
         if not len(cell.ids) or not cell.queries:
             continue
-        got = list(search_cell(cell, k, trees, reach))
+        got = list(search_cell(cell, k, trees, share))
         sizes = [len(i) for _, _, i, _ in got]
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat([g[0] for g in got], sizes), pa.int64()), pa.array(np.repeat([g[1] for g in got], sizes), pa.int64()), pa.array(np.concatenate([g[2] for g in got]), pa.int64()), pa.array(np.concatenate([g[3] for g in got]), pa.float64())], ["query_id", "tag", "vec_id", "score"])
 
@@ -140,5 +153,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     columns are ignored; an empty table gives no rows.
     """
     rows = vectors.where(F.col(id_col).isNotNull() & usable(vector_col, zero=False)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    found = dealt(rows, every, shard_rows, block_rows).mapInArrow(partial(_search, k=k, trees=trees, reach=reach), "query_id long, tag long, vec_id long, score double")
+    n = rows.count()
+    share = min(1.0, reach / max(n, 1) ** 0.5)
+    found = dealt(rows, n, every, shard_rows, block_rows).mapInArrow(partial(_search, k=k, trees=trees, share=share), "query_id long, tag long, vec_id long, score double")
     return best(found, k)

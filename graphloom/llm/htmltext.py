@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -20,15 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_MARKUP = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+_MARKUP = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
 _CUE = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
-#: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template title textarea select button iframe object svg math canvas audio video".split())
+#: Elements whose content is read as one raw text up to their end tag.
+RAW = frozenset("script style noscript title textarea iframe".split())
+#: Elements whose content is no text of the page; they end with their end tag or their parent.
+UNSEEN = frozenset("template button object svg math canvas audio video".split())
 #: The same for elements whose end tag may be left out; a block ends them too, so that one left open hides nothing after it.
-CHOICES = frozenset("datalist optgroup option".split())
+CHOICES = frozenset("select datalist optgroup option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that begin and end a block.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -41,6 +44,7 @@ MAIN_CUES = frozenset("article articlebody content main post entry story body te
 #: An open element of the first kind ends when one of the second kind opens.
 ENDS = {"p": BLOCK - {"body", "html"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"})}
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "in_boiler", "heading", "item")
+MARKS = (6, 7)  #: features from the page's marks: the tree may ask for them only below splits on words and links
 
 
 @dataclass
@@ -69,33 +73,58 @@ def _stand(name: str, attributes: str, within: int) -> int:
     return within
 
 
+class _Open:
+    """The open elements, and how many of each name there are, so that nothing is searched in vain."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, bool, bool]] = []  # name, stand, whether within UNSEEN, whether within CHOICES
+        self.count: Counter[str] = Counter()
+
+    def push(self, name: str, attributes: str) -> None:
+        _, within, unseen, choice = self.stack[-1] if self.stack else ("", 0, False, False)
+        self.stack.append((name, _stand(name, attributes, within), unseen or name in UNSEEN, choice or name in CHOICES))
+        self.count[name] += 1
+
+    def pop(self) -> None:
+        self.count[self.stack.pop()[0]] -= 1
+
+    def close(self, name: str) -> None:
+        """End the innermost element of the name."""
+        if self.count[name]:
+            while self.stack[-1][0] != name:
+                self.pop()
+            self.pop()
+
+    def close_all(self, names: frozenset[str]) -> None:
+        """End the outermost element of the names and all in it."""
+        while any(self.count[n] for n in names):
+            self.pop()
+
+
 def blocks_of(page: str | None) -> list[Block]:
-    """The page's blocks of text in order."""
+    """The page's blocks of text in order; linear in the length of the page."""
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # name, stand, whether within one of CHOICES
+    opened = _Open()
+    stack = opened.stack
     pieces: list[str] = []
     linked: list[str] = []
+    missing: set[str] = set()  # raw elements that have no end tag any more
     anchors = at = 0
 
-    def close_from(names: frozenset[str]) -> None:
-        cut = next((i for i, (n, *_) in enumerate(stack) if n in names), None)
-        if cut is not None:
-            del stack[cut:]
-
     def flush() -> None:
         text = " ".join("".join(pieces).split())
         if text:
             chars = len(text.replace(" ", ""))
-            names = {n for n, *_ in stack}
             stand = stack[-1][1] if stack else 0
-            out.append(Block(text, text.count(" ") + 1, min(1.0, len("".join("".join(linked).split())) / chars), stand == 1, stand == -1, not HEADING.isdisjoint(names), "li" in names))
+            heading = any(opened.count[n] for n in HEADING)
+            out.append(Block(text, text.count(" ") + 1, min(1.0, len("".join("".join(linked).split())) / chars), stand == 1, stand == -1, heading, opened.count["li"] > 0))
         pieces.clear()
         linked.clear()
 
     def put(text: str) -> None:
-        if text and not (stack and stack[-1][2]):
+        if text and not (stack and (stack[-1][2] or stack[-1][3])):
             text = html.unescape(text) if "&" in text else text
             pieces.append(text)
             if anchors:
@@ -114,37 +143,39 @@ def blocks_of(page: str | None) -> list[Block]:
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if not closing and name in RAW:
             if not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}[^>]*(?:>|\Z)", re.I).search(page, at)
+                end = None if name in missing else _ENDS_OF[name].search(page, at)
+                if end is None:
+                    missing.add(name)
                 at = end.end() if end else len(page)
             put(" ")
             continue
         if name in BLOCK:
-            if stack and stack[-1][2]:
-                close_from(CHOICES)
+            if stack and stack[-1][3]:
+                opened.close_all(CHOICES)
             flush()
-        elif name == "br" or name in CHOICES:
+        elif name == "br" or name in CHOICES or name in UNSEEN:
             put(" ")
         if name == "a":
             anchors = 0 if closing else 1
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            opened.close(name)
         elif name not in VOID:
             while stack and name in ENDS.get(stack[-1][0], ()):
-                stack.pop()
+                opened.pop()
             if name in BLOCK:  # inline elements left open within a paragraph end with it
-                close_from(frozenset({"p"}))
-            elif name in CHOICES and stack and stack[-1][2]:
-                close_from(CHOICES if name == "datalist" else CHOICES - {"datalist"} if name == "optgroup" else frozenset({"option"}))
+                opened.close_all(_PARAGRAPH)
+            elif name in CHOICES and stack and stack[-1][3]:
+                opened.close_all(CHOICES if name in ("datalist", "select") else CHOICES - {"datalist", "select"} if name == "optgroup" else frozenset({"option"}))
             if not attributes.endswith("/"):
-                within, choice = stack[-1][1:] if stack else (0, False)
-                stack.append((name, _stand(name, attributes, within), choice or name in CHOICES))
+                opened.push(name, attributes)
     flush()
     return out
 
 
+_ENDS_OF = {n: re.compile(rf"</{n}[^>]*+(?:>|\Z)", re.I) for n in RAW}
+_PARAGRAPH = frozenset({"p"})
+
+
 def table_of(blocks: list[Block]) -> np.ndarray:
     """A row of ``FEATURES`` for each block."""
     own = np.array([[b.words, b.links] for b in blocks], float).reshape(-1, 2)
@@ -154,21 +185,23 @@ def table_of(blocks: list[Block]) -> np.ndarray:
 
 
 class DecisionTree:
-    """A small classification tree grown by Gini impurity."""
+    """A small classification tree grown by Gini impurity; the first ``first`` levels may use the features before ``late`` only."""
 
-    def __init__(self, depth: int = 6):
-        self.depth = depth
+    def __init__(self, depth: int = 9, first: int = 2, late: tuple[int, ...] = ()):
+        self.depth, self.first, self.late = depth, first, late
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> DecisionTree:
-        self.root = self._grow(x, y, self.depth)
+        self.root = self._grow(x, y, 0)
         return self
 
-    def _grow(self, x: np.ndarray, y: np.ndarray, depth: int):
+    def _grow(self, x: np.ndarray, y: np.ndarray, level: int):
         share = float(y.mean())
-        if depth == 0 or share in (0.0, 1.0):
+        if level == self.depth or share in (0.0, 1.0):
             return share >= 0.5
         best = None
         for f in range(x.shape[1]):
+            if level < self.first and f in self.late:
+                continue
             order = np.argsort(x[:, f], kind="stable")
             v, t = x[order, f], y[order]
             ones = np.cumsum(t)
@@ -179,10 +212,10 @@ class DecisionTree:
                 if best is None or impurity < best[0] - 1e-12:
                     best = (impurity, f, (v[i] + v[i + 1]) / 2)
         if best is None:
-            return share >= 0.5
+            return self._grow(x, y, self.first) if level < self.first else share >= 0.5
         _, f, cut = best
         left = x[:, f] <= cut
-        return f, cut, self._grow(x[left], y[left], depth - 1), self._grow(x[~left], y[~left], depth - 1)
+        return f, cut, self._grow(x[left], y[left], level + 1), self._grow(x[~left], y[~left], level + 1)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x), bool)
@@ -205,6 +238,20 @@ def _labelled() -> np.ndarray:
 
 #: words, link density, those before, those after, in main, in boiler, heading, item, label
 LABELLED = [
+    # blocks of real pages, labelled by reading the pages
+    (1, 1, 0, 0, 1, 1, 0, 1, 0, 1, 0), (1, 1, 1, 1, 1, 1, 0, 1, 0, 1, 0), (1, 1, 1, 1, 8, 0, 0, 1, 0, 1, 0), (8, 0, 1, 1, 10, 0, 0, 1, 0, 0, 0), (10, 0, 8, 0, 51, 0, 1, 0, 1, 0, 1), (51, 0, 10, 0, 8, 0, 1, 0, 0, 0, 1), (8, 0, 51, 0, 11, 0, 1, 0, 0, 0, 1), (11, 0, 8, 0, 36, 0, 1, 0, 0, 0, 1),
+    (36, 0, 11, 0, 32, 0, 1, 0, 0, 0, 1), (32, 0, 36, 0, 52, 0, 1, 0, 0, 0, 1), (52, 0, 32, 0, 25, 0, 1, 0, 0, 0, 1), (25, 0, 52, 0, 11, 0, 1, 0, 0, 0, 1), (11, 0, 25, 0, 0, 0, 0, 1, 0, 0, 0), (9, 0, 8, 0, 12, 0, 1, 0, 1, 0, 1), (12, 0, 9, 0, 9, 0, 1, 0, 0, 0, 1), (39, 0, 9, 0, 8, 0, 1, 0, 0, 0, 1),
+    (8, 0, 39, 0, 20, 0, 1, 0, 0, 0, 1), (20, 0, 8, 0, 8, 0, 1, 0, 0, 0, 1), (8, 0, 20, 0, 8, 0, 1, 0, 0, 0, 1), (8, 0, 8, 0, 0, 0, 0, 1, 0, 0, 0), (1, 1, 1, 1, 5, 0, 0, 1, 0, 1, 0), (5, 0, 1, 1, 2, 0, 0, 1, 0, 0, 0), (2, 0, 5, 0, 2, 0, 1, 0, 1, 0, 1), (2, 0, 2, 0, 11, 0, 1, 0, 0, 0, 1),
+    (11, 0, 2, 0, 0, 0, 0, 1, 0, 0, 0), (11, 0, 8, 0, 17, 0, 1, 0, 1, 0, 1), (17, 0, 11, 0, 143, 0, 1, 0, 0, 0, 1), (143, 0, 17, 0, 31, 0, 1, 0, 0, 0, 1), (31, 0, 143, 0, 189, 0, 1, 0, 0, 0, 1), (189, 0, 31, 0, 43, 0, 1, 0, 0, 0, 1), (43, 0, 189, 0, 51, 0, 1, 0, 0, 0, 1), (51, 0, 43, 0, 22, 0, 1, 0, 0, 0, 1),
+    (22, 0, 51, 0, 11, 0, 1, 0, 0, 0, 1), (11, 0, 22, 0, 0, 0, 0, 1, 0, 0, 0), (45, 0, 8, 0, 1, 0, 1, 0, 0, 0, 1), (1, 0, 45, 0, 30, 0, 1, 0, 0, 0, 1), (30, 0, 1, 0, 37, 0, 1, 0, 0, 0, 1), (37, 0, 30, 0, 47, 0, 1, 0, 0, 0, 1), (47, 0, 37, 0, 2, 0, 1, 0, 0, 0, 1), (2, 0, 47, 0, 1, 0, 1, 0, 0, 0, 1),
+    (15, 0, 1, 0, 3, 0, 1, 0, 0, 0, 1), (3, 0, 15, 0, 8, 0, 1, 0, 0, 0, 1), (8, 0, 3, 0, 14, 0, 1, 0, 0, 0, 1), (14, 0, 8, 0, 0, 0, 0, 1, 0, 0, 0), (9, 0, 1, 1, 7, 0, 0, 1, 0, 0, 0), (7, 0, 9, 0, 968, 0, 1, 0, 1, 0, 1), (968, 0, 7, 0, 9, 0, 1, 0, 0, 0, 1), (9, 0, 968, 0, 7, 0, 1, 0, 0, 0, 1),
+    (7, 0, 9, 0, 0, 0, 0, 1, 0, 0, 0), (6, 0, 4, 0, 6, 0, 1, 0, 1, 0, 1), (6, 0, 6, 0, 10, 0, 1, 0, 0, 0, 1), (12, 0, 1, 1, 11, 0, 0, 1, 0, 0, 0), (149, 0, 11, 0, 46, 0, 1, 0, 0, 0, 1), (46, 0, 149, 0, 1, 0, 1, 0, 0, 0, 1), (1, 0, 46, 0, 76, 0, 1, 0, 0, 0, 1), (9, 0, 76, 0, 0, 0, 0, 1, 0, 0, 0),
+    (6, 0, 1, 1, 8, 0, 0, 1, 0, 0, 0), (8, 0, 12, 0, 3, 0, 1, 0, 0, 0, 1), (3, 0, 8, 0, 38, 0, 1, 0, 0, 0, 1), (38, 0, 3, 0, 36, 0, 1, 0, 0, 0, 1), (36, 0, 38, 0, 28, 0, 1, 0, 0, 0, 1), (28, 0, 36, 0, 6, 0, 1, 0, 0, 0, 1), (6, 0, 28, 0, 25, 0, 1, 0, 0, 0, 1), (25, 0, 6, 0, 32, 0, 1, 0, 0, 0, 1),
+    (32, 0, 25, 0, 13, 0, 1, 0, 0, 0, 1), (13, 0, 32, 0, 0, 0, 0, 1, 0, 0, 0), (4, 0, 10, 0, 4, 0, 1, 0, 1, 0, 1), (4, 0, 4, 0, 47, 0, 1, 0, 0, 0, 1), (47, 0, 4, 0, 75, 0, 1, 0, 0, 0, 1), (95, 0, 43, 0, 11, 0, 1, 0, 0, 0, 1), (11, 0, 95, 0, 49, 0, 1, 0, 0, 0, 1), (15, 0, 5, 0, 0, 0, 0, 1, 0, 0, 0),
+    (12, 0, 12, 0, 184, 0, 1, 0, 1, 0, 1), (11, 0, 7, 0, 37, 0, 1, 0, 1, 0, 1), (37, 0, 11, 0, 17, 0, 1, 0, 0, 0, 1), (17, 0, 37, 0, 13, 0, 1, 0, 0, 0, 1), (13, 0, 17, 0, 24, 0, 1, 0, 0, 0, 1), (24, 0, 13, 0, 61, 0, 1, 0, 0, 0, 1), (61, 0, 24, 0, 22, 0, 1, 0, 0, 0, 1), (22, 0, 61, 0, 74, 0, 1, 0, 0, 0, 1),
+    (74, 0, 22, 0, 61, 0, 1, 0, 0, 0, 1), (19, 0, 88, 0, 9, 0, 1, 0, 0, 0, 1), (9, 0, 19, 0, 20, 0, 1, 0, 0, 0, 1), (13, 0, 20, 0, 0, 0, 0, 1, 0, 0, 0), (4, 0, 133, 0, 11, 0, 1, 0, 0, 0, 1), (11, 0, 4, 0, 29, 0, 1, 0, 0, 0, 1), (29, 0, 11, 0, 10, 0, 1, 0, 0, 0, 1), (10, 0, 29, 0, 14, 0, 1, 0, 0, 0, 1),
+    (5, 0, 5, 0, 30, 0, 1, 0, 0, 0, 1), (30, 0, 5, 0, 31, 0, 1, 0, 0, 0, 1), (31, 0, 30, 0, 31, 0, 1, 0, 0, 0, 1), (31, 0, 31, 0, 1, 0, 1, 0, 0, 0, 1), (1, 0, 31, 0, 9, 0, 1, 0, 0, 0, 1), (113, 0, 117, 0, 30, 0, 1, 0, 0, 0, 1), (58, 0, 30, 0, 27, 0, 1, 0, 0, 0, 1), (15, 0, 27, 0, 46, 0, 1, 0, 0, 0, 1),
+    (46, 0, 15, 0, 25, 0, 1, 0, 0, 0, 1), (12, 0, 25, 0, 0, 0, 0, 1, 0, 0, 0), (29, 0, 1, 0, 19, 0, 1, 0, 0, 0, 1), (19, 0, 29, 0, 8, 0, 1, 0, 0, 0, 1),
     # articles that are marked as such
     (9, 0, 4, 1, 60, 0, 1, 0, 1, 0, 1), (60, 0, 9, 0, 45, 0.05, 1, 0, 0, 0, 1), (45, 0.05, 60, 0, 3, 0, 1, 0, 0, 0, 1), (3, 0, 45, 0.05, 80, 0, 1, 0, 0, 0, 1),
     (80, 0.1, 3, 0, 1, 0, 1, 0, 0, 0, 1), (1, 0, 80, 0.1, 12, 0, 1, 0, 0, 0, 1), (12, 0, 1, 0, 6, 0, 1, 0, 0, 1, 1), (6, 0, 12, 0, 7, 0, 1, 0, 0, 1, 1),
@@ -215,6 +262,11 @@ LABELLED = [
     (8, 0, 60, 0, 0, 0, 0, 1, 0, 0, 0), (25, 0, 60, 0, 0, 0, 0, 1, 0, 0, 0), (40, 0, 80, 0, 30, 0, 0, 1, 0, 0, 0), (70, 0, 40, 0, 5, 1, 0, 1, 0, 0, 0),
     (3, 0, 80, 0, 12, 1, 0, 1, 1, 0, 0), (12, 1, 3, 0, 11, 1, 0, 1, 0, 1, 0), (20, 0.2, 90, 0, 60, 0, 0, 1, 0, 0, 0), (14, 0, 2, 0, 4, 0, 0, 1, 0, 0, 0),
     (110, 0, 90, 0, 10, 0, 0, 1, 0, 0, 0), (5, 0, 0, 0, 60, 0, 0, 1, 0, 0, 0), (2, 0, 5, 0, 3, 0, 0, 1, 0, 0, 0), (16, 0, 70, 0, 18, 0, 0, 1, 0, 1, 0),
+    # marked blocks whose words and links say otherwise
+    (60, 0, 4, 0, 0, 0, 0, 1, 0, 0, 0), (1, 0, 0, 0, 60, 0, 1, 0, 0, 0, 1), (90, 0, 30, 0, 0, 0, 1, 0, 0, 0, 1), (3, 0, 80, 0, 0, 0, 1, 0, 0, 0, 1), (5, 0, 1, 1, 90, 0, 0, 1, 0, 0, 0), (45, 0, 2, 1, 9, 0, 0, 1, 0, 0, 0), (12, 0, 1, 1, 60, 0, 0, 1, 0, 0, 0), (130, 0, 0, 0, 8, 0, 1, 0, 1, 0, 1),
+    (2, 0, 3, 1, 40, 0, 1, 0, 0, 0, 1), (25, 0, 2, 1, 3, 0, 1, 0, 0, 0, 1), (4, 1, 20, 0, 30, 0, 1, 0, 0, 0, 1), (3, 0.7, 5, 0, 6, 0, 1, 0, 0, 1, 1), (30, 0.5, 60, 0, 10, 0, 1, 0, 0, 0, 1), (40, 0.6, 30, 0, 3, 1, 0, 1, 0, 0, 0), (8, 0, 60, 0, 6, 0, 1, 0, 1, 0, 1), (7, 0, 70, 0, 50, 0, 0, 1, 0, 0, 0),
+    (33, 0, 20, 0, 70, 0, 0, 1, 0, 0, 0), (20, 0, 9, 0, 70, 0, 0, 1, 0, 0, 0), (10, 0, 90, 0, 0, 0, 1, 0, 0, 1, 1), (5, 0, 40, 0, 2, 1, 1, 0, 0, 0, 1), (14, 0, 30, 0, 4, 1, 1, 0, 0, 0, 1), (2, 0, 10, 0, 3, 1, 1, 0, 1, 0, 1), (70, 0, 10, 0, 3, 1, 0, 1, 0, 0, 0), (65, 0, 0, 0, 2, 1, 0, 1, 0, 0, 0),
+    (80, 0.4, 30, 0, 2, 1, 1, 0, 0, 0, 1),
     # pages whose elements tell nothing
     (55, 0, 8, 0, 70, 0, 0, 0, 0, 0, 1), (70, 0.02, 55, 0, 48, 0, 0, 0, 0, 0, 1), (48, 0.1, 70, 0, 4, 0, 0, 0, 0, 0, 1), (4, 0, 48, 0.1, 66, 0, 0, 0, 0, 0, 1),
     (66, 0, 4, 0, 35, 0, 0, 0, 0, 0, 1), (8, 0, 2, 1, 55, 0, 0, 0, 1, 0, 1), (5, 0, 40, 0, 62, 0, 0, 0, 1, 0, 1), (14, 0, 62, 0, 22, 0, 0, 0, 0, 0, 1),
@@ -231,7 +283,7 @@ LABELLED = [
 
 def trained_tree() -> DecisionTree:
     rows = _labelled()
-    return DecisionTree().fit(rows[:, :-1], rows[:, -1])
+    return DecisionTree(late=MARKS).fit(rows[:, :-1], rows[:, -1])
 
 
 def main_text(page: str | None, tree: DecisionTree) -> str:

@@ -23,14 +23,17 @@ from graphloom.llm.vectors import best, cells, dealt, usable
 
 SCALE = 256.0
 _TOP = (1 << 63) - 1
+_WIDE = 2200  #: bits that hold any score of doubles
 
 
 def quantised(x: np.ndarray) -> np.ndarray:
     """floor(256 * x) as integers; Python's where 64 bits might not do."""
-    scaled = np.floor(SCALE * x)
-    if scaled.size and np.abs(scaled).max() >= 2.0**24:
-        return np.array([[int(v) for v in row] for row in scaled], object).reshape(x.shape)
-    return scaled.astype(np.int64)
+    if x.size and np.abs(x).max() >= 2.0**16:
+        whole = [int(v) * int(SCALE) if abs(v) >= 2.0**53 else int(np.floor(SCALE * v)) for v in x.ravel().tolist()]
+        out = np.empty(x.size, object)
+        out[:] = whole
+        return out.reshape(x.shape)
+    return np.floor(SCALE * x).astype(np.int64)
 
 
 class BitSlicedIndex:
@@ -110,7 +113,7 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         if not len(cell.ids) or not cell.queries:
             continue
         index = BitSlicedIndex(quantised(cell.vectors))
-        queries, tags, ids, scores = [], [], [], []
+        queries, tags, ids, scores, beyond = [], [], [], [], []
         for query, tag, v in cell.queries:
             weights = quantised(v[None, :])[0]
             low, high = np.searchsorted(cell.ids, [query, query + 1])
@@ -121,24 +124,25 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
                 tags.append(tag)
                 ids.append(int(cell.ids[row]))
                 scores.append(max(-_TOP, min(_TOP, score)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (queries, tags, ids, scores)], ["query_id", "tag", "vec_id", "score"])
+                beyond.append("" if -_TOP < score < _TOP else format(score + (1 << _WIDE), f"0{_WIDE // 4 + 1}x"))
+        columns = [pa.array(c, pa.int64()) for c in (queries, tags, ids, scores)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(beyond, pa.string())], ["query_id", "tag", "vec_id", "score", "beyond"])
 
 
 def top_scores(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, shard_rows: int = 8192, block_rows: int = 1024) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's k best of all other rows by the quantised inner product.
 
     Queries are the rows whose id is divisible by ``every``; ties go to the
-    smaller id.  Null vectors, vectors with null or non-finite components (or
-    components that are not finite when scaled) and rows with a null id take no
-    part; vectors are compared with those of their length.  Rows of the query's
+    smaller id.  Null vectors, vectors with null or non-finite components and
+    rows with a null id take no part; vectors are compared with those of their length.  Rows of the query's
     own id are no candidates; rows that repeat another count once; an id with
-    several vectors is several queries.  Scores beyond 64 bits saturate.  Other
+    several vectors is several queries.  Scores beyond 64 bits
+    are ranked exactly and reported as the nearest long.  Other
     columns are ignored; an empty table gives no rows.
     """
-    fits = F.forall(vector_col, lambda x: F.abs(x.cast("double")) < 1e300)
-    rows = vectors.where(F.col(id_col).isNotNull() & usable(vector_col, zero=True)).where(fits).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    found = dealt(rows, every, shard_rows, block_rows).mapInArrow(partial(_search, k=k), "query_id long, tag long, vec_id long, score long")
-    return best(found, k)
+    rows = vectors.where(F.col(id_col).isNotNull() & usable(vector_col, zero=True)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    found = dealt(rows, rows.count(), every, shard_rows, block_rows).mapInArrow(partial(_search, k=k), "query_id long, tag long, vec_id long, score long, beyond string")
+    return best(found, k, "beyond")
 
 
 REFERENCE_SQL = """

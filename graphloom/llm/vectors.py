@@ -32,13 +32,15 @@ def usable(column: str, zero: bool) -> Column:
     return c.isNotNull() & ~bad & (F.lit(True) if zero else F.exists(c, lambda x: x != 0))
 
 
-def dealt(vectors: DataFrame, every: int, shard_rows: int, block_rows: int) -> DataFrame:
-    """``dim, shard, block, query, id, tag, v`` sorted by cell, a cell's vectors before its queries."""
+def dealt(vectors: DataFrame, n: int, every: int, shard_rows: int, block_rows: int) -> DataFrame:
+    """``dim, shard, block, query, id, tag, v`` of ``n`` vectors, sorted by cell, a cell's vectors before its queries.
+
+    Rows are dealt by id and vector, so rows of one id spread and equal rows meet.
+    """
     rows = vectors.select(F.col("id"), F.col("v"), F.size("v").alias("dim"))
-    n = rows.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n // (every * block_rows)))
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")
+    shard = F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")
+    block = F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(blocks)).cast("int")
     own = rows.select("dim", shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("query"), "id", F.lit(0).cast("long").alias("tag"), "v")
     asked = rows.where(F.col("id") % every == 0)
     asked = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block.alias("block"), F.lit(1).alias("query"), "id", F.xxhash64("v").alias("tag"), "v")
@@ -53,16 +55,9 @@ def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[Cell]:
     def made() -> Cell:
         query, ids, tags, v = (np.concatenate(x) for x in zip(*parts, strict=True))
         own = query == 0
-        keep = np.ones(own.sum(), bool)
-        i, x = ids[own], v[own]
-        again = np.flatnonzero(i[1:] == i[:-1])
-        for a in again:  # repeated ids: equal rows count once
-            b = a + 1
-            while b > 0 and i[b - 1] == i[a + 1]:
-                b -= 1
-                if keep[b] and (x[b] == x[a + 1]).all():
-                    keep[a + 1] = False
-                    break
+        i, x = ids[own], np.ascontiguousarray(v[own])
+        keyed = np.ascontiguousarray(np.hstack([i.astype("<i8")[:, None].view(np.uint8), x.view(np.uint8).reshape(len(i), x.shape[1] * 8)]))
+        keep = np.sort(np.unique(keyed.view(f"V{keyed.shape[1]}").ravel(), return_index=True)[1])  # repeated rows count once
         asked: dict[tuple[int, int], np.ndarray] = {}
         for q in np.flatnonzero(~own):
             asked.setdefault((int(ids[q]), int(tags[q])), v[q])
@@ -86,7 +81,7 @@ def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[Cell]:
         yield made()
 
 
-def best(found: DataFrame, k: int) -> DataFrame:
-    """The k best of each query: ``query_id, rank, vec_id, score``, ties to the smaller id."""
-    order = Window.partitionBy("query_id", "tag").orderBy(F.desc("score"), "vec_id")
+def best(found: DataFrame, k: int, *finer: str) -> DataFrame:
+    """The k best of each query: ``query_id, rank, vec_id, score``, ties by ``finer`` (descending) and to the smaller id."""
+    order = Window.partitionBy("query_id", "tag").orderBy(F.desc("score"), *[F.desc(c) for c in finer], "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -105,6 +105,89 @@ def test_main_text_without_marks():
         htmltext.main_text(broken, tree)
 
 
+def _page(rng):
+    """A page with marks of many kinds, and the text of its article."""
+    words = lambda a, b: " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "&amp;"]) for _ in range(rng.randint(a, b)))
+    menu = "".join(f"<li><a href=x>{words(1, 4)}</a>" for _ in range(rng.randint(3, 8)))
+    before = rng.choice([f"<header><p>{words(1, 12)}</header>", f'<div class="masthead">{words(2, 9)}</div>', ""]) + f"<nav><ul>{menu}</ul></nav>"
+    before += rng.choice([f'<div class="ad">{words(3, 70)}</div>', f'<div class="cookie-notice"><p>{words(8, 60)}</div>', f"<form>{words(2, 10)}<button>{words(1, 2)}</form>", ""])
+    title = words(4, 14)
+    inner, kept = "", [title]
+    for _ in range(rng.randint(2, 9)):
+        text, kind = words(1, 150), rng.random()
+        if kind < 0.8:
+            kept.append(text)
+            inner += f"<p>{text}" if kind < 0.6 else f"<h2>{text}</h2>"
+        else:
+            inner += rng.choice([f"<aside>{words(5, 60)}</aside>", f'<div class="advert">{words(5, 40)}</div>', f'<div class="share"><a href=x>{words(2, 2)}</a></div>'])
+    article = rng.choice(["<article><h1>{}</h1>{}</article>", "<main><h1>{}</h1>{}</main>", '<div class="post-content"><h1>{}</h1>{}</div>']).format(title, inner)
+    after = rng.choice([f'<aside class="sidebar"><h3>{words(2, 2)}</h3><ul>{menu}</ul><p>{words(10, 60)}</aside>', f'<section id="comments"><p>{words(10, 90)}<p>{words(3, 50)}</section>', ""])
+    return f"<html><body>{before}{article}{after}<footer><p>{words(4, 30)}</footer></body></html>", "\n".join(kept).replace("&amp;", "&")
+
+
+def test_tree_reads_words_and_links_first_and_knows_pages_it_was_not_trained_on():
+    import random
+
+    rng, tree = random.Random(1), htmltext.trained_tree()
+    top = tree.root
+    assert top[0] not in htmltext.MARKS and all(side[0] not in htmltext.MARKS for side in top[2:] if isinstance(side, tuple))
+    pages = [_page(rng) for _ in range(300)]
+    assert sum(htmltext.main_text(page, tree) == truth for page, truth in pages) >= 297
+
+
+def test_main_text_equals_a_parse_by_the_standard_library():
+    import pyarrow.parquet as pq
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.depth, self.blocks, self.now = 0, [], ""
+
+        def flush(self):
+            if self.depth and self.now.split():
+                self.blocks.append(" ".join(self.now.split()))
+            self.now = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in htmltext.BLOCK:
+                self.flush()
+            self.depth += tag == "article"
+            self.now += " " if tag == "br" else ""
+
+        def handle_endtag(self, tag):
+            if tag in htmltext.BLOCK:
+                self.flush()
+            self.depth -= tag == "article"
+
+        def handle_data(self, data):
+            self.now += data
+
+    tree = htmltext.trained_tree()
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist():
+        parser = Article()
+        parser.feed(page)
+        parser.close()
+        parser.flush()
+        assert htmltext.main_text(page, tree) == "\n".join(parser.blocks)
+
+
+def test_hard_pages_take_linear_time():
+    import time
+
+    for page in ("<a" * 500_000, "<div>" * 200_000 + "x" + "</b>" * 200_000, "<p>x<b>" * 50_000, "<a \"'>" * 100_000, "<title>" * 100_000, "<option>" * 100_000 + "<div>a", "<button>a" * 100_000, "&" * 1_000_000):
+        began = time.time()
+        htmltext.blocks_of(page)
+        assert time.time() - began < 10, page[:20]
+
+
+def test_unclosed_elements_end_with_their_parent():
+    tree = htmltext.trained_tree()
+    article = "<article><p>" + "word " * 40 + "</p></article>"
+    for opened in ("<div><button>no</div>", "<form><svg><text>no</form>", "<div><select><option>no</div>", "<div><canvas>no</div>", "<select><option>no"):
+        assert htmltext.main_text(opened + article, tree).split() == ["word"] * 40, opened
+
+
 @pytest.fixture(scope="module")
 def vectors(spark):
     rng = np.random.default_rng(2)
@@ -167,3 +250,32 @@ def test_bit_sliced_scores():
         assert set(index.top(w, 7, index.all)) == set(order[:7])
     huge = topk.BitSlicedIndex(topk.quantised(np.array([[1e30, 1.0], [2e30, 1.0], [-1e30, 5.0]])))
     assert huge.top(topk.quantised(np.array([[1.0, 1.0]]))[0], 1, huge.all) == [1]
+
+
+def test_scores_beyond_64_bits_are_ranked_exactly(spark):
+    rows = [(0, [1e160, 1.0]), (1, [1e305, 0.0]), (2, [1.7e308, 0.0]), (3, [1.1e305, 0.0]), (4, [-1e307, 0.0]), (5, [-1e306, 0.0]), (6, [0.0, 3.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_scores(frame, k=6).collect())
+    assert [r[2] for r in got] == [2, 3, 1, 6, 5, 4]
+    assert got[0][3] == (1 << 63) - 1 and got[5][3] == -(1 << 63) + 1 and got[3][3] == 256 * 256 * 3
+
+
+def test_many_vectors_under_one_id(spark):
+    rng = np.random.default_rng(8)
+    rows = [(20, v.tolist()) for v in rng.normal(size=(600, 4))] + [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)), 100)]
+    frame = spark.createDataFrame(rows + rows[:50], "vec_id long, embedding array<double>")
+    got = ann.nearest(frame, shard_rows=200, block_rows=20).collect()
+    assert len(got) == (600 + 15) * 20 and all(r["vec_id"] != 20 for r in got if r["query_id"] == 20)
+
+
+def test_forest_prunes_and_finds():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asked = x[::100]
+    share, hits = 0, 0
+    for q, found in zip(asked, ann.PrefixForest(x).candidates(asked, 800), strict=True):
+        best = np.argsort(-(x @ q))[:21]
+        share += len(found) / len(x)
+        hits += np.isin(best, found).mean()
+    assert hits / len(asked) > 0.95 and share / len(asked) < 0.25
