@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import hash_sample_by, held_out, mix64
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Word characters that are numbers and no letters, such as superscripts and fractions.
+_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 UNDETERMINED = "und"
 LEAST = 30  #: rows of a language that the training sample holds at least, unless there are fewer
 

@@ -147,10 +147,14 @@ def _score(batches: Iterator[pa.RecordBatch], features, table: np.ndarray, bias:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_chars: int) -> tuple[list[str], list[int]]:
-    """About ``max_rows`` labelled texts, by hash of the id; rows held out (crc32 of the id modulo 4 is 2) never."""
+    """About ``max_rows`` labelled texts, by hash of the id; rows held out (crc32 of the id modulo 4 is 2) never.
+
+    Of several texts of an id one is taken, so ``max_rows`` times ``max_chars`` bounds what the driver gets.
+    """
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"), 4, 2)).select("doc_id", "toxic")
     chosen = hash_sample(known, max_rows, "doc_id")
-    texts = docs.select("doc_id", "text").where(F.length("text").between(1, max_chars)).join(chosen, "doc_id").distinct()
+    texts = docs.select("doc_id", "text").where(F.length("text").between(1, max_chars)).join(chosen, "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = texts.toPandas().sort_values(["doc_id", "toxic", "text"])
     return rows.text.tolist(), rows.toxic.astype(int).tolist()
 
@@ -168,7 +172,7 @@ def score_documents(docs: DataFrame, model: SubwordSoftmax, text_col: str = "tex
     return rows.mapInArrow(partial(_score, features=replace(model).features, table=table, bias=bias, name=name), ", ".join(filter(None, [schema, f"`{name}` double"])))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_chars: int = 100_000, **settings) -> SubwordSoftmax:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_chars: int = 20_000, **settings) -> SubwordSoftmax:
     """A model fitted on a bounded sample of the labelled documents."""
     texts, marks = training_sample(docs, labels, max_rows, max_chars)
     return SubwordSoftmax(**settings).fit(texts, marks)
