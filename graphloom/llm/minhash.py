@@ -471,11 +471,11 @@ class _Join:
         out = join_per_key(worded, self.scratch.save(of, "of"), "class", "c", self.rows.count(), self.scratch).where("hi = h and lo = l")
         own = F.lit(True) if self.join_ids else (F.col("hi") == F.col("top.hi")) & (F.col("lo") == F.col("top.lo"))
         named = [F.col("n").alias("n_shingles"), "text_hash"]
-        out = out.select("doc_id", *named, F.col("top.first_id").alias("component_id"), ((F.col("doc_id") == F.col("top.first_id")) & own).alias("kept"))
-        alone = self.rows.where("doc_id is null or n = 0").select("doc_id", *named, F.when(F.col("n") == 0, F.col("doc_id")).alias("component_id"), F.lit(True).alias("kept"))
+        out = out.select("doc_id", *named, F.col("top.first_id").alias("component_id"), ((F.col("doc_id") == F.col("top.first_id")) & own).alias("kept"), F.xxhash64("top.hi", "top.lo").alias("group"))
+        alone = self.rows.where("doc_id is null or n = 0").select("doc_id", *named, F.when(F.col("n") == 0, F.col("doc_id")).alias("component_id"), F.lit(True).alias("kept"), F.lit(None).cast("long").alias("group"))
         done = self.scratch.save(out.unionByName(alone), "groups")
         self.scratch.keep_only(done)
-        return done.select("doc_id", "n_shingles", "component_id", "kept", "text_hash")
+        return done.select("doc_id", "n_shingles", "component_id", "kept", "text_hash", "group")
 
 
 def _mean_similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -507,13 +507,14 @@ def _star_pairs(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[p
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: int = 80, positions: int = 128, trees: int = 10, branch: float = 5 / 3, depth: int = 2, seed: int = 1, join_ids: bool = True) -> DataFrame:
-    """Groups of near-duplicates: ``doc_id, n_shingles, component_id, kept, text_hash``, one row per input row.
+    """Groups of near-duplicates: ``doc_id, n_shingles, component_id, kept, text_hash, group``, one row per input row.
 
     ``k`` words make a shingle and ``threshold`` is the least Jaccard
     similarity of a link in percent (documents are lower-cased over A-Z and
     split at ASCII white space).  ``component_id`` is the smallest id that a
     document reaches over links, itself included; ``kept`` marks the documents
-    whose id that is.  ``text_hash`` is xxhash64 of the row's text.
+    whose id that is.  ``text_hash`` is xxhash64 of the row's text and
+    ``group`` of the least fingerprint under the component's id.
 
     Null, empty and blank texts have no shingles and link with nothing; they
     are kept.  Rows with a null id link with nothing, have a null component and
@@ -536,10 +537,10 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     """
     scratch = Scratch(docs.sparkSession, "undoubled")
     groups = near_duplicates(docs, id_col, text_col, join_ids=False, **settings).where("doc_id is not null and n_shingles > 0")
-    per = groups.groupBy("doc_id", "text_hash").agg(F.max("component_id").alias("component_id"), F.max("kept").alias("kept"), F.count("*").alias("c"))
+    per = groups.groupBy("doc_id", "text_hash").agg(F.max("component_id").alias("component_id"), F.max("kept").alias("kept"), F.max("group").alias("group"), F.count("*").alias("c"))
     per = scratch.save(per, "texts")
-    least = per.where("kept").groupBy("doc_id").agg(F.min("text_hash").alias("first"), F.count("*").alias("texts"))
-    odd = per.join(least.where("texts > 1").select("doc_id", "first"), "doc_id", "left")
+    least = per.where("kept").groupBy("doc_id", "group").agg(F.min("text_hash").alias("first"), F.count("*").alias("texts"))
+    odd = per.join(least.where("texts > 1").select("doc_id", "group", "first"), ["doc_id", "group"], "left")
     stays = F.col("kept") & (F.col("first").isNull() | (F.col("first") == F.col("text_hash")))
     odd = scratch.save(odd.where(~stays | (F.col("c") > 1)).select("doc_id", "text_hash", stays.alias("stays")), "odd")
     hashed, of, text, stays, row, order = spare(docs.columns, "hashed", "of", "text", "stays", "row", "order")
