@@ -19,11 +19,14 @@ neither the words that follow nor a head before it hide a valid one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import spare
+
 CUT = 0.5  #: least score of a span of a further kind
 BEFORE, AFTER = 50, 30  #: characters around a span that may hold context words
 BOOST = 0.4  #: what a context word adds to a score
@@ -58,6 +61,47 @@ KINDS = (
 )
 
 
+CHUNK = 1000  #: code points of the pieces in which long texts are cut, so that no span is looked up from the text's beginning
+RUN = 256  #: spans that are gathered before they go to the others, so that gathering copies few
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _part(chunks: Column, start: Column, length: Column) -> Column:
+    """The part of a text that begins at an offset."""
+    first = F.floor(start / CHUNK).cast("int")
+    last = F.least(F.floor((start + length) / CHUNK).cast("int"), F.size(chunks) - 1)
+    joined = F.array_join(F.slice(chunks, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.substring(joined, start - first * CHUNK + 1, length)
+
+
+def _gathered(items: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """What a pass over the items gives out, as an array of ``kind``.
+
+    ``step(at, item)`` returns the next ``at`` (an integer that begins as 0)
+    and the array of what the item gives.  Runs of items are gathered on their own.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        at, out = step(acc["at"], x)
+        return F.struct(at.cast("int").alias("at"), F.concat(acc["out"], out).alias("out"))
+
+    def run(acc: Column, block: Column) -> Column:
+        done = F.aggregate(block, F.struct(acc["at"].alias("at"), none.alias("out")), one)
+        return _let(done, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], r["out"]).alias("out")))
+
+    blocks = lambda all_: F.transform(F.sequence(F.lit(0), F.floor(F.size(all_) / RUN).cast("int")), lambda b: F.slice(all_, b * RUN + 1, F.lit(RUN)))
+    return _let(items, lambda all_: F.aggregate(blocks(all_), F.struct(F.lit(0).alias("at"), none.alias("out")), run, lambda acc: acc["out"]))
+
+
 def _digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
@@ -114,10 +158,13 @@ def _iban(run: Column, after: Column) -> Column:
     return F.array_max(F.filter(ends, lambda e: _mod97(_bare(e["hit"]))))["hit"]
 
 
+_SPAN = "struct<start:int,end:int,hit:string>"
+
+
 def _apart(spans: Column) -> Column:
     """Spans in order without those that begin within one before."""
-    none = F.filter(spans, lambda _: F.lit(False))
-    return F.aggregate(spans, none, lambda acc, s: F.when(s["start"] < F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)), acc).otherwise(F.concat(acc, F.array(s))))
+    none = F.array().cast(f"array<{_SPAN}>")
+    return _gathered(spans, _SPAN, lambda at, s: (F.when(s["start"] < at, at).otherwise(s["end"]), F.when(s["start"] < at, none).otherwise(F.array(s))))
 
 
 def _ibans(text: Column, kind: Kind, heads: Column) -> Column:
@@ -132,28 +179,28 @@ def _spans(text: Column, kind: Kind) -> Column:
     """Confirmed spans of one kind: ``start, rank, kind, end, hit``."""
     hits = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     parts = F.zip_with(F.split(text, kind.pattern, -1), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
-    span = "struct<start:int,end:int,hit:string>"
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("out"))
+    none = F.array().cast(f"array<{_SPAN}>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["gap"]
         end = start + F.length(x["hit"])
-        more = F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("out"))
-        return F.when(x["hit"].isNull(), acc).otherwise(more)
+        span = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"))
+        return F.coalesce(end, at), F.when(x["hit"].isNull(), none).otherwise(F.array(span))
 
-    proposed = F.aggregate(parts, empty, step, lambda acc: acc["out"])
+    proposed = _gathered(parts, _SPAN, step)
     found = _ibans(text, kind, proposed) if kind.name == "iban" else F.filter(proposed, lambda s: _valid(kind.name, s["hit"]))
     rank = [k.name for k in KINDS].index(kind.name)
-    named = F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), s["end"].alias("end"), F.lit(kind.base).alias("base"), _score(text, kind, s).alias("score")))
+    scored = lambda chunks: lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind.name).alias("kind"), s["end"].alias("end"), F.lit(kind.base).alias("base"), _score(chunks, kind, s).alias("score"))
+    named = _let(_chunks(text), lambda chunks: F.transform(found, scored(chunks)))
     hint = F.contains(text, F.lit(kind.hint)) if kind.hint == "@" else text.rlike(kind.hint)
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,base:boolean,score:double>>")
     return F.when(hint, F.filter(named, lambda s: s["base"] | (s["score"] >= CUT))).otherwise(none)
 
 
-def _score(text: Column, kind: Kind, span: Column) -> Column:
+def _score(chunks: Column, kind: Kind, span: Column) -> Column:
     first = F.greatest(span["start"] - BEFORE, F.lit(0))
-    before = F.substring(text, first + 1, span["start"] - first)
-    after = F.substring(text, span["end"] + 1, F.lit(AFTER))
+    before = _part(chunks, first, span["start"] - first)
+    after = _part(chunks, span["end"], F.lit(AFTER))
     near = F.lower(F.concat(before, F.lit(" "), after)).rlike(rf"(?:^|[^a-z])(?:{kind.context})(?:[^a-z]|$)")
     return F.lit(kind.score) + F.when(near, BOOST).otherwise(0.0)
 
@@ -187,16 +234,19 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The table with every span replaced by its kind in brackets; of overlapping spans the first counts."""
     text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    (found,) = spare(docs.columns, "found")
+
+    def clean(chunks: Column) -> Column:
+        def step(at: Column, s: Column) -> tuple[Column, Column]:
+            kept = F.array(_part(chunks, at, s["start"] - at), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+            return F.when(s["start"] < at, at).otherwise(s["end"]), F.when(s["start"] < at, F.array().cast("array<string>")).otherwise(kept)
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        more = F.struct(s["end"].alias("at"), F.concat(acc["out"], kept, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("out"))
-        return F.when(s["start"] < acc["at"], acc).otherwise(more)
+        end = F.struct(F.length(text).alias("start"), F.lit(0).alias("rank"), F.lit("").alias("kind"), F.length(text).alias("end"), F.lit(True).alias("base"), F.lit(0.0).alias("score"))
+        pieces = _gathered(F.concat(F.col(found), F.array(end)), "string", step)
+        return F.array_join(F.slice(pieces, 1, F.size(pieces) - 1), "")
 
-    clean = F.aggregate("__found", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    rows = docs.withColumn("__found", found_spans(text))
-    return rows.withColumn(text_col, F.when(F.size("__found") > 0, clean).otherwise(text)).drop("__found")
+    rows = docs.withColumn(found, found_spans(text))
+    return rows.withColumn(text_col, F.when(F.size(found) > 0, _let(_chunks(text), clean)).otherwise(text)).drop(found)
 
 
 def reference_sql() -> str:

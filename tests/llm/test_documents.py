@@ -155,6 +155,10 @@ def test_forward_backward_equals_enumeration():
     assert np.isclose(moves.sum(), 3)
 
 
+def test_numbers_are_no_letters():
+    assert language._WORD.findall("² ½ ① 12 _ x² Ⅷ 一 été") == ["x", "一", "été"]
+
+
 def test_code_switched_words():
     en, fr = "the house and the river were green and wide", "la maison et la rivière étaient vertes et larges"
     model = language.WordField(["en", "fr"]).fit([en] * 20 + [fr] * 20, ["en"] * 20 + ["fr"] * 20, sequences=300)
@@ -306,3 +310,72 @@ def test_pieces_are_sampled_by_their_probability(model):
         total, n = sum(weights.values()), 30_000
         seen = Counter(tuple(x.tolist()) for x in sampler.sample(list(range(n)), [word] * n))
         assert set(seen) <= set(weights) and max(abs(seen[a] / n - w / total) for a, w in weights.items()) < 0.015
+
+
+def test_nodes_of_a_lattice_do_not_depend_on_their_neighbours(model):
+    import random
+
+    rng = random.Random(9)
+    parts = ["".join(rng.choice("the andingr") for _ in range(rng.randint(1, 14))) for _ in range(4000)]
+    lattices = pieces.Lattices(model, 0.5)
+    _, _, cum, *_ = lattices.build(parts, 0)
+    at = 0
+    for chunk in (parts[:7], parts[7:1500], parts[1500:]):
+        _, _, own, *_ = lattices.build(chunk, 0)
+        assert np.array_equal(own, cum[at : at + len(own)])
+        at += len(own)
+    assert at == len(cum)
+
+
+def test_one_row_of_each_group_stays_with_its_columns(spark, docs, rows):
+    frame = docs.selectExpr("*", "1 as stays", "2 as `of`", "map(1, 2) as m")
+    out = minhash.without_near_duplicates(frame)
+    assert out.columns == frame.columns
+    kept = out.collect()
+    worded = [r for r in kept if r["doc_id"] is not None and (r["text"] or "").split()]
+    assert len({(r["doc_id"], r["text"]) for r in worded}) == len(worded)
+    assert sum(r["doc_id"] == 5 for r in worded) == 2  # an id with two texts that are unlike
+    assert sum(r["doc_id"] == 4 for r in worded) == 1  # three equal rows
+    assert {71, 72, 73} <= {r["doc_id"] for r in kept}
+
+
+def test_filter_and_heavy_keys(spark):
+    from graphloom.llm.common import join_per_key, spare, split_by_keys
+    from graphloom.scratch import Scratch
+
+    scratch = Scratch(spark, "test")
+    frame = spark.range(30_000).selectExpr("id", "id % 3 as g", "'x' as h", "'y' as piece")
+    keys = spark.range(1000).selectExpr("id * 7 as k")
+    clear, maybe = split_by_keys(frame, frame["id"], keys, scratch)
+    assert clear.columns == maybe.columns == frame.columns and clear.count() + maybe.count() == 30_000
+    assert clear.where("id % 7 = 0 and id < 7000").count() == 0 and maybe.count() < 2000
+    none, all_ = split_by_keys(frame, frame["id"], keys.limit(0), scratch)
+    assert (none.count(), all_.count()) == (30_000, 0)
+    for n in (3, 29_000):
+        rows = frame.selectExpr("id", f"id % {n} as key")
+        per = rows.groupBy("key").count()
+        assert join_per_key(rows, per, "key", "count", 30_000, scratch).selectExpr("sum(count)").first()[0] == sum(r["count"] ** 2 for r in per.collect())
+    assert spare(["A", "_a"], "a", "b") == ["__a", "b"]
+
+
+def test_a_failed_sure_pair_reopens_its_leaf():
+    bags = [np.array([0, 4, 1, 2, 3, 4], np.uint16)] * 3
+    i, j = np.array([0, 0, 1]), np.array([1, 2, 2])
+    hidden = minhash._worthwhile(i, j, np.arange(3), bags, 80, True)
+    assert len(hidden) == 2 and all(flag for *_, flag in hidden)
+    assert len(minhash._worthwhile(i, j, np.arange(3), bags, 80, False)) == 3
+
+
+def test_texts_full_of_spans(spark):
+    import time
+
+    one = "write to a.b@c.org 𝔘 or call +44 20 7946 0958 today "
+    frame = spark.createDataFrame([(1, one * 20_000), (2, one)], "doc_id long, text string")
+    began = time.time()
+    long, short = sorted(pii.personal_data(frame).collect(), key=lambda r: -r["doc_id"])[::-1]
+    assert (long["n_email"], long["n_phone"]) == (20_000, 20_000)
+    expected = ",".join(f"{k}:{int(a) + i * len(one)}:{int(b) + i * len(one)}" for i in range(20_000) for k, a, b in (x.split(":") for x in short["spans"].split(",")))
+    assert long["spans"] == expected
+    clean = {r["doc_id"]: r["text"] for r in pii.redacted(frame).collect()}
+    assert clean[1] == clean[2] * 20_000 and clean[2] == "write to [EMAIL] 𝔘 or call [PHONE] today "
+    assert time.time() - began < 60
