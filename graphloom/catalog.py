@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom import testgraphs as tg
 from graphloom.functions.natural import natural_order
-from graphloom.graph import Graph
+from graphloom.graph import Graph, numbered
 from graphloom.operators import attributes, communities, generators, iterative, knn, measures, select, traverse
 from graphloom.testgraphs import CONVO, OTHER, SUPPLY, TRADE
 
@@ -51,7 +52,7 @@ def _edges(name: str, text: str, where: str) -> None:
 _edges("select_edges_weight_gt", "weight > 60", "weight > 60")
 _edges("select_edges_src_region", '$src.region == "ASIA"', "s.region = 'ASIA'")
 _edges("select_edges_any_endpoint", '$any.region == "ASIA" AND weight >= 50', "(s.region = 'ASIA' or d.region = 'ASIA') and weight >= 50")
-_edges("select_edges_both_endpoints", '$both.region == "EUROPE" OR $dst.name == "CHINA"', "(s.region = 'EUROPE' and d.region = 'EUROPE') or d.name = 'CHINA'")
+_edges("select_edges_both_endpoints", '$both.region == "EUROPE" OR $dst.name == "NATION_4"', "(s.region = 'EUROPE' and d.region = 'EUROPE') or d.name = 'NATION_4'")
 _edges("select_edges_not", 'NOT ($src.regionkey >= 1 AND weight < 100)', "not (s.regionkey >= 1 and weight < 100)")
 
 
@@ -59,11 +60,11 @@ def _nodes(name: str, text: str, where: str) -> None:
     query(name, f"with {TRADE} select id from n where {where}")(lambda spark, sf: select.select_nodes(tg.trade(spark, sf, sparse=True), text))
 
 
-_nodes("select_nodes_string_in", 'name IN ("CHINA", "FRANCE", "NOWHERE")', "name in ('CHINA', 'FRANCE', 'NOWHERE')")
-_nodes("select_nodes_regex", 'name =~ "^[[:upper:]]+A$"', "regexp_matches(name, '^[[:upper:]]+A$')")
+_nodes("select_nodes_string_in", 'name IN ("NATION_3", "NATION_7", "NOWHERE")', "name in ('NATION_3', 'NATION_7', 'NOWHERE')")
+_nodes("select_nodes_regex", 'name =~ "^[[:upper:]]+_[[:digit:]]$"', "regexp_matches(name, '^[[:upper:]]+_[[:digit:]]$')")
 _nodes("select_nodes_not_or", 'NOT (region == "ASIA" OR regionkey IN (0, 3))', "not (region = 'ASIA' or regionkey in (0, 3))")
 _nodes("select_nodes_any_neighbor", '$any.neighbor.region == "AFRICA" AND regionkey > 1', "id in (select node from adj join n m on m.id = nbr where m.region = 'AFRICA') and regionkey > 1")
-_nodes("select_nodes_both_neighbor", "$both.neighbor.regionkey < 4", "id in (select node from adj join n m on m.id = nbr group by node having bool_and(m.regionkey < 4))")
+_nodes("select_nodes_both_neighbor", "$both.neighbor.id != 3", "id in (select node from adj group by node having bool_and(nbr <> 3))")
 
 
 def _vectors(name: str, text: str, where: str) -> None:
@@ -104,22 +105,20 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("filter_subgraph_ordered", f"with {TRADE} select id, (row_number() over (order by regionkey desc, id) - 1)::bigint as place from n where regionkey <= 3")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     g = select.filter_subgraph(tg.trade(spark, sf), "regionkey <= 3")
-    from pyspark.sql import Window
+    ordered = select.order_by(g, "node", g.nodes, "-regionkey").select("id").toArrow()  # in the order of the frame
+    return spark.createDataFrame([(i, place) for place, i in enumerate(ordered.column("id").to_pylist())], "id long, place long")
 
-    ordered = select.order_by(g, "node", g.nodes, "-regionkey").select("id", "regionkey")
-    return ordered.select("id", (F.row_number().over(Window.orderBy(F.desc("regionkey"), "id")) - 1).cast("long").alias("place"))
 
-
-@query("selector_intersect", f"with {TRADE} select id from n where regionkey >= 1 and name like '%A%'")
+@query("selector_intersect", f"with {TRADE} select id from n where regionkey >= 1 and name like '%2%'")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     g = tg.trade(spark, sf)
-    return select.intersect(g, "node", select.select_nodes(g, "regionkey >= 1"), select.select_nodes(g, 'name =~ "A"'))
+    return select.intersect(g, "node", select.select_nodes(g, "regionkey >= 1"), select.select_nodes(g, 'name =~ "2"'))
 
 
-@query("selector_union_difference", f"with {TRADE} select id from n where (regionkey = 1 or regionkey = 2) and name not like '%A%'")
+@query("selector_union_difference", f"with {TRADE} select id from n where (regionkey = 1 or regionkey = 2) and name not like '%1%'")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     g = tg.trade(spark, sf)
-    return select.difference(select.union(select.select_nodes(g, "regionkey == 1"), select.select_nodes(g, "regionkey == 2")), select.select_nodes(g, 'name =~ "A"'))
+    return select.difference(select.union(select.select_nodes(g, "regionkey == 1"), select.select_nodes(g, "regionkey == 2")), select.select_nodes(g, 'name =~ "1"'))
 
 
 @query("edges_filter_by_nodes", f"with {TRADE} select id from p where src < 12 and dst < 12")
@@ -229,11 +228,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("strong_components", f"with recursive {TRADE}, heavy as (select * from e where weight > (select quantile_disc(weight, 0.9) from e)), r(a, b) as (select id, id from n union select r.a, dst from r join heavy on src = r.b), m as (select x.a as id, min(x.b) as root from r x join r y on x.a = y.b and x.b = y.a group by 1) select id, dense_rank() over (order by root)::bigint as component from m")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     g = tg.trade(spark, sf)
-    n = g.edges.count()
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.orderBy("weight"))
-    cut = g.edges.withColumn("place", place).where(F.col("place") == F.ceil(F.lit(n * 0.9))).select(F.col("weight").alias("cut"))
+    cut = g.edges.agg(F.expr("percentile_disc(0.9) within group (order by weight)").alias("cut"))
     heavy = g.edges.crossJoin(F.broadcast(cut)).where("weight > cut").drop("cut")  # one row
     return iterative.strong_components(Graph(g.nodes, heavy, True))
 
@@ -285,9 +280,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(iterative.eigenvector_centrality(tg.trade(spark, sf, sparse=True), "weight", max_iterations=6, tolerance=0.0), "x").select("id", "x")
 
 
-@query("eigenvector_converged")
+@query("eigenvector_converged", _power(40))
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return iterative.eigenvector_centrality(tg.trade(spark, sf, sparse=True), "weight")
+    return rounded(iterative.eigenvector_centrality(tg.trade(spark, sf, sparse=True), "weight", tolerance=1e-10), "x").select("id", "x")
 
 
 _BETWEEN = f"""with recursive {TRADE}, l as (select src, dst, count(*) as m from p where src <> dst group by 1, 2),
@@ -305,7 +300,17 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(iterative.betweenness_centrality(tg.trade(spark, sf, sparse=True)), "betweenness")
 
 
-@query("betweenness_weighted")
+def _weighted_between() -> str:
+    """Distances by doubling the paths, numbers of paths by hops along the edges that shortest paths use."""
+    steps = ["l as (select src, dst, weight::double as w, count(*) as m from p where src <> dst group by 1, 2, 3)", "d0 as materialized (select src as s, dst as v, min(w) as d from l group by 1, 2 union all select id, id, 0 from n)"]
+    for i in range(1, 6):
+        steps.append(f"d{i} as materialized (select a.s, b.v, min(a.d + b.d) as d from d{i - 1} a join d{i - 1} b on b.s = a.v group by 1, 2)")
+    walk = "c(s, v, h, k) as (select id, id, 0, 1::double from n union all select c.s, l.dst, c.h + 1, sum(c.k * l.m) from c join l on l.src = c.v join d5 a on a.s = c.s and a.v = c.v join d5 b on b.s = c.s and b.v = l.dst and b.d = a.d + l.w group by c.s, l.dst, c.h)"
+    steps += [walk, "g as (select c.s, c.v, d5.d, sum(c.k) as k from c join d5 on d5.s = c.s and d5.v = c.v group by 1, 2, 3)"]
+    return f"with recursive {TRADE}, {', '.join(steps)} select n.id, round(coalesce(b, 0) / ((select count(*) from n) - 1) / ((select count(*) from n) - 2), 6)::double as betweenness from n left join (select a.v as id, sum(a.k * b.k / t.k) as b from g a join g b on a.v = b.s join g t on t.s = a.s and t.v = b.v and t.d = a.d + b.d where a.s <> a.v and b.v <> a.v and a.s <> b.v group by 1) using (id)"
+
+
+@query("betweenness_weighted", _weighted_between())
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(iterative.betweenness_centrality(tg.trade(spark, sf, sparse=True), "weight"), "betweenness")
 
@@ -334,18 +339,25 @@ for _o, _by in _CODES.items():
     query(f"categorize_{_o}", f"with {TRADE}, k as (select region, row_number() over (order by {_by}) - 1 as code from n group by region) select n.id, code::int as region from n join k using (region)")(lambda spark, sf, o=_o: attributes.categorize(tg.trade(spark, sf), "node", "region", o).nodes.select("id", "region"))
 
 
-@query("categorize_natural", "select s_suppkey as id, (row_number() over (order by s_name) - 1)::int as name from supplier")
+@query("categorize_natural", "select s_suppkey as id, (row_number() over (order by s_suppkey) - 1)::int as name from supplier")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = tg.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    nodes = tg.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("Supplier "), F.col("s_suppkey").cast("string")).alias("name"))
     return attributes.categorize(Graph(nodes, Graph.empty(spark).edges), "node", "name", "natural").nodes
 
 
+def _naturally(spark: SparkSession, sf: str, text: Column) -> DataFrame:
+    parts = tg.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), natural_order(text).alias("key"))
+    return numbered(parts, ["key", "id"], "place").select("id", (F.col("place") + 1).cast("int").alias("place"))
+
+
 @query("natural_order", "select p_partkey as id, row_number() over (order by p_size, p_partkey)::int as place from part")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
+    return _naturally(spark, sf, F.concat(F.lit("size"), F.col("p_size").cast("string")))
+
 
-    parts = tg.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), natural_order(F.concat(F.lit("size"), F.col("p_size").cast("string"))).alias("key"))
-    return parts.select("id", F.row_number().over(Window.orderBy("key", "id")).alias("place"))
+@query("natural_order_long_numbers", "select p_partkey as id, row_number() over (order by p_size, p_partkey % 7, p_partkey)::int as place from part")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return _naturally(spark, sf, F.concat(F.lit("n"), F.repeat(F.lit("7"), F.col("p_size")), F.lit("-"), F.repeat(F.lit("0"), (F.col("p_partkey") % 7).cast("int")), F.lit("5")))
 
 
 @query("decategorize", f"with {TRADE} select id, region from n")
@@ -360,12 +372,26 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return attributes.set_dictionary(g, "node", "region", {"ASIA": 10, "AFRICA": 20}, remap=True).nodes.select("id", "region")
 
 
-@query("multicategory_csr", "select (row_number() over (order by id, code) - 1)::bigint as place, id, code::int as category from (select n_nationkey::bigint as id, unnest([0, 1]) as code from nation where n_nationkey % 2 = 0 union all select n_nationkey, 1 from nation where n_nationkey % 2 = 1)")
+def _tagged(spark: SparkSession, sf: str) -> Graph:
+    """Nations: every third without tags, other even ones with both, the rest with one."""
+    g = tg.trade(spark, sf).define_attribute("node", "tags", "multicategory")
+    codes = F.when(F.col("id") % 3 == 0, F.array().cast("array<int>")).when(F.col("id") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
+    entries = F.transform(codes, lambda c: F.struct(c.alias("id"), F.lit(None).cast("double").alias("weight"))).cast(g.nodes.schema["tags"].dataType)
+    tagged = g.set_values("node", "tags", g.nodes.select("id", entries.alias("value")))
+    return replace(tagged, categories={("node", "tags"): {"even": 0, "any": 1}})
+
+
+_TAGS = "t as (select n_nationkey::bigint as id, case when n_nationkey % 3 = 0 then 0 when n_nationkey % 2 = 0 then 2 else 1 end as n from nation)"
+
+
+@query("multicategory_csr", "select (row_number() over (order by id, code) - 1)::bigint as place, id, code::int as category from (select n_nationkey::bigint as id, unnest([0, 1]) as code from nation where n_nationkey % 2 = 0 and n_nationkey % 3 <> 0 union all select n_nationkey, 1 from nation where n_nationkey % 2 = 1 and n_nationkey % 3 <> 0)")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    g = tg.trade(spark, sf)
-    ids = [r[0] for r in g.nodes.select("id").collect()]
-    tagged = attributes.set_multicategory(g, "node", "tags", {i: (["even", "any"] if i % 2 == 0 else ["any"]) for i in sorted(ids)})
-    return attributes.multicategory_buffers(tagged, "node", "tags")[1].select(F.col("at").alias("place"), "id", "category")
+    return attributes.multicategory_buffers(_tagged(spark, sf), "node", "tags")[1].select(F.col("at").alias("place"), "id", "category")
+
+
+@query("multicategory_offsets", f"with {_TAGS}, o as (select id, n, coalesce(sum(n) over (order by id rows between unbounded preceding and 1 preceding), 0)::bigint as place from t) select id, place as \"offset\", (place + n)::bigint as stop from o")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return attributes.multicategory_buffers(_tagged(spark, sf), "node", "tags")[0]
 
 
 @query("node_to_edge_copy", f"with {TRADE} select e.id, a.regionkey as src_region, b.regionkey as dst_region from e join n a on a.id = src join n b on b.id = dst")
@@ -402,12 +428,40 @@ def _lattice_sql(rows: int, columns: int, level: int, wrap: bool) -> str:
 
 query("lattice_2d", _lattice_sql(20, 30, 2, False))(lambda spark, sf: generators.lattice_2d(spark, 20, 30, 2).edges.select("src", "dst"))
 query("lattice_2d_periodic", _lattice_sql(7, 9, 1, True))(lambda spark, sf: generators.lattice_2d(spark, 7, 9, periodic=True).edges.select("src", "dst"))
-query("stochastic_block_model")(lambda spark, sf: generators.stochastic_block_model(spark, [200, 300], [[0.1, 0.01], [0.01, 0.1]], seed=7).edge_pairs())
-query("watts_strogatz")(lambda spark, sf: generators.watts_strogatz(spark, 1000, 2, 0.05, seed=7).edge_pairs())
-query("barabasi_albert")(lambda spark, sf: generators.barabasi_albert(spark, 500, 2, seed=7).edge_pairs())
-query("random_geometric")(lambda spark, sf: generators.random_geometric(spark, 500, 0.05, seed=7).edge_pairs())
-query("waxman")(lambda spark, sf: generators.waxman(spark, 300, seed=7).edge_pairs())
-query("configuration_model")(lambda spark, sf: generators.configuration_model(spark, [1 + i % 4 for i in range(1000)], seed=7).edge_pairs())
+_GENERATED: dict[str, tuple[int, Callable[[SparkSession], Graph]]] = {
+    "stochastic_block_model": (500, lambda spark: generators.stochastic_block_model(spark, [200, 300], [[0.1, 0.01], [0.01, 0.1]], seed=7)),
+    "watts_strogatz": (1000, lambda spark: generators.watts_strogatz(spark, 1000, 2, 0.05, seed=7)),
+    "barabasi_albert": (500, lambda spark: generators.barabasi_albert(spark, 500, 2, seed=7)),
+    "random_geometric": (500, lambda spark: generators.random_geometric(spark, 500, 0.05, seed=7)),
+    "waxman": (300, lambda spark: generators.waxman(spark, 300, seed=7)),
+    "configuration_model": (1000, lambda spark: generators.configuration_model(spark, [1 + i % 4 for i in range(1000)], seed=7)),
+}
+
+
+def _invariants(g: Graph) -> DataFrame:
+    """Nodes, loops, repeated pairs, ends that are no nodes, and whether ids are 0, 1, 2 and so on."""
+    pairs = g.edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    counts = pairs.agg(F.sum(F.when(F.col("a") == F.col("b"), 1).otherwise(0)).alias("loops"), (F.count("*") - F.count_distinct("a", "b")).alias("repeated"), (F.count("*") > 0).alias("linked"))
+    strangers = pairs.select(F.explode(F.array("a", "b")).alias("id")).join(g.nodes, "id", "left_anti").agg(F.count("*").alias("strangers"))
+    nodes = g.nodes.agg(F.count("*").alias("nodes"), F.min("id").alias("first"), F.max("id").alias("last"))
+    return counts.crossJoin(strangers).crossJoin(nodes)  # one row each
+
+
+for _name, (_n, _make) in _GENERATED.items():
+    query(_name)(lambda spark, sf, f=_make: f(spark).edge_pairs())
+    query(f"{_name}_invariants", f"select 0::bigint as loops, 0::bigint as repeated, true as linked, 0::bigint as strangers, {_n}::bigint as nodes, 0::bigint as first, {_n - 1}::bigint as last")(lambda spark, sf, f=_make: _invariants(f(spark)))
+
+
+@query("barabasi_albert_degrees", "select 500::bigint as nodes, 2::bigint as least_degree")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return measures.degree(_GENERATED["barabasi_albert"][1](spark)).agg(F.count("*").alias("nodes"), F.min("degree").alias("least_degree"))
+
+
+@query("configuration_model_degrees", "select 0::bigint as above")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    got = measures.degree(_GENERATED["configuration_model"][1](spark))
+    return got.where(F.col("degree") > F.col("id") % 4 + 1).agg(F.count("*").alias("above"))
+
 
 _KNN = "with v as (select vec_id as id, list_transform(embedding, lambda x: x::double) as v from embeddings), q as (select a.id as src, b.id as dst, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) as distance from v a join v b on a.id <> b.id), k as (select *, row_number() over (partition by src order by distance, dst) - 1 as rank from q)"
 
@@ -544,3 +598,90 @@ def _formats() -> dict[str, tuple[Callable, Callable]]:
 
 for _f in ("parquet", "xnet", "node_link_json", "gml", "bxnet", "zxnet", "gt"):
     query(f"round_trip_{_f}", f"with {TRADE} select s.name as a, d.name as b, weight from p join n s on s.id = src join n d on d.id = dst")(lambda spark, sf, f=_f: _round_trip(spark, sf, *_formats()[f]))
+
+
+# -- changes, selectors and derived columns ----------------------------------------------------
+
+
+@query("add_nodes_and_edges", f"with {TRADE} select id, src, dst, weight from e union all select (select max(id) from e) + 1 + k, src, dst, 0 from (values (0, 25, 26), (1, 0, 25), (2, 0, 25)) t(k, src, dst)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return tg.trade(spark, sf).add_nodes(2).add_edges([(25, 26), (0, 25), (0, 25)]).edges.select("id", "src", "dst", "weight")
+
+
+@query("add_edges_from_arrays", f"with {TRADE} select src, dst from e union all select * from (values (3, 4), (5, 5)) t(src, dst)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return tg.trade(spark, sf).add_edges_from_arrays([3, 5], [4, 5]).edges.select("src", "dst")
+
+
+@query("remove_edges", f"with {TRADE} select id from e where weight < 100")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    g = tg.trade(spark, sf)
+    return g.remove_edges(select.select_edges(g, "weight >= 100")).edges.select("id")
+
+
+@query("remove_nodes", f"with {TRADE} select id, src, dst from e where src not in (3, 4) and dst not in (3, 4)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return tg.trade(spark, sf).remove_nodes([3, 4, 99]).edge_pairs()
+
+
+query("replay_binary_batch", SQL["replay_text_batch"])(lambda spark, sf: _replayed_binary(spark, sf))
+
+
+def _replayed_binary(spark: SparkSession, sf: str) -> DataFrame:
+    from graphloom.streaming.log import Log, parse_binary, parse_text, to_binary
+
+    log = Log(tg.trade(spark, sf, sparse=True))
+    log.apply(parse_binary(to_binary(parse_text(_BATCH))))
+    return log.graph.edges
+
+
+@query("selector_degree", f"with {TRADE} select node as id, count(*)::bigint as degree from adj where node in (select id from n where regionkey = 2) group by 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    g = tg.trade(spark, sf, sparse=True)
+    return measures.selector_degree(g, select.select_nodes(g, "regionkey == 2")).where("degree > 0")
+
+
+@query("incident_edges", f"with {TRADE} select distinct edge as id from adj where node in (select id from n where regionkey = 2)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    g = tg.trade(spark, sf, sparse=True)
+    return measures.incident_edges(g, select.select_nodes(g, "regionkey == 2"))
+
+
+@query("derived_edge_attribute", f"with {TRADE} select p.id, case when a.id = 3 then 77 else a.regionkey end::int as region from p join n a on a.id = p.src")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    g = tg.trade(spark, sf, sparse=True).derive_edge_attribute("regionkey", "region", "src")
+    later = g.set_values("node", "regionkey", spark.createDataFrame([(3, 77)], "id long, value int"))  # the view follows
+    return later.edge_view().select("id", F.col("region").cast("int").alias("region"))
+
+
+@query("mapped_attribute", f"with {TRADE} select id, (regionkey * 10 + id % 3)::bigint as score from n")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    g = tg.trade(spark, sf).with_attribute("node", "score", F.col("regionkey").cast("long"))
+    return g.map_attribute("node", "score", lambda current, i: current * 10 + i % 3, "int64").nodes.select("id", "score")
+
+
+@query("transform_queries", "with v as (select vec_id as id, list_transform(embedding, lambda x: x::double) as v, label from embeddings), t as (select max(id) + 1 as offset_ from v where label <> 0), q as (select a.id + offset_ as src, b.id as dst, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) as distance from v a join v b on a.label = 0 and b.label <> 0 cross join t), k as (select *, row_number() over (partition by src order by distance, dst) - 1 as rank from q) select src, dst, round(distance, 6)::double as distance, rank::int as rank from k where rank < 4")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    points = tg.table(spark, sf, "embeddings")
+    g = knn.transform_queries(points.where("label <> 0"), points.where("label = 0"), 4, "vec_id", "embedding")
+    return rounded(g.edges.select("src", "dst", F.col("umap_knn_distance").alias("distance"), F.col("umap_knn_rank").alias("rank")), "distance")
+
+
+@query("fitted_graph", f"{_KNN}, w as (select src, dst, 1 / (1 + distance) as weight from k where rank < 3), f as (select least(src, dst) as src, greatest(src, dst) as dst, max(weight) as weight from w group by 1, 2) select src, dst, round(weight, 6)::double as weight, round((select sum(weight) from w where w.src = f.src), 6)::double as mass from f")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    g, _ = knn.fit_graph(tg.table(spark, sf, "embeddings"), 3, None, "vec_id", "embedding")
+    return rounded(g.edges.join(g.nodes.select(F.col("id").alias("src"), "mass"), "src").select("src", "dst", "weight", "mass"), "weight", "mass")
+
+
+_RUNS = f"with {CONVO}, r as (select id, max(id) over (partition by run) as last from (select id, id - row_number() over (order by id) as run from cn))"
+
+
+@query("convo_ball_volume", f"{_RUNS} select id as source, r::int as r, (least(r, last - id) + 1)::bigint as volume from r as a, range(0, 5) t(r)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return iterative.ball_volumes(tg.convo(spark, sf), 4)
+
+
+@query("convo_dimension_profiles", f"{_RUNS}, x as (select id, r, (least(r, last - id) + 1)::double as v, (least(r - 1, last - id) + 1)::double as u from r as a, range(0, 4) t(r)), d as (select id, r, case when r = 1 then v / v when r > 1 then (v - u) * r / v else 0 end as d from x) select id, round(max(d), 6)::double as max_dimension, round(list(d order by r)[3], 6)::double as at_two from d group by 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    profiles = iterative.dimension_profiles(iterative.node_dimension(tg.convo(spark, sf), None, 3, "backward", 1))
+    return rounded(profiles.select("id", "max_dimension", F.col("profile")[2].alias("at_two")), "max_dimension", "at_two")

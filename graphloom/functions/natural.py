@@ -32,8 +32,14 @@ def _bytewise(parts: list[tuple]) -> list[tuple]:
 
 
 def natural_order(c: Column) -> Column:
-    """A string column that sorts in natural order for digit runs of up to 30 digits."""
+    """A string column that sorts in natural order.
+
+    A run of digits becomes a 0, the length of its number and the number
+    without leading zeros, then the length of the run; a length is written
+    after the number of its own digits, so that texts compare like lengths.
+    """
     pieces = F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), F.lit(1))
     bare = lambda p: F.regexp_replace(p, "^0+(?=\\d)", "")
-    padded = F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lit("0"), F.lpad(bare(p), 30, "0"), F.lpad(F.length(p).cast("string"), 3, "0"))).otherwise(p))
-    return F.array_join(padded, "")
+    sized = lambda t: F.concat(F.char(F.length(F.length(t).cast("string")) + 48), F.length(t).cast("string"))
+    keyed = F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lit("0"), sized(bare(p)), bare(p), sized(p))).otherwise(p))
+    return F.array_join(keyed, "")

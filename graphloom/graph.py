@@ -8,7 +8,7 @@ Multi-edges and self-loops are allowed.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,8 +36,9 @@ class Graph:
     edges: DataFrame
     directed: bool = False
     attributes: dict[str, object] = field(default_factory=dict)
-    categories: dict[tuple[str, str], dict[str, int]] = field(default_factory=dict)
+    categories: dict[tuple[str, str], Mapping[str, int]] = field(default_factory=dict)
     versions: dict[str, int] = field(default_factory=dict)
+    derived: dict[str, tuple[str, str, bool]] = field(default_factory=dict)
 
     # -- construction ------------------------------------------------------------------------
 
@@ -200,6 +201,49 @@ class Graph:
         column = value if isinstance(value, Column) else F.lit(value)
         return self.with_frame(scope, self.frame(scope).withColumn(name, column)).bump_attribute(scope, name)
 
+    def map_attribute(self, scope: str, name: str, function: Callable[[object, int], object], kind: str) -> Graph:
+        """Set an attribute row by row from ``function(current value, id)``; one version for the whole change.
+
+        Rows pass in Arrow batches.  Prefer ``with_attribute`` with a column
+        expression, which needs no Python.  An attribute that is not there yet
+        comes as None.
+        """
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        frame = self.frame(scope)
+        data_type = attribute_type(kind) if isinstance(kind, str) else kind
+        current = F.col(f"`{name}`") if name in frame.columns else F.lit(None).cast("int")
+        rows = frame.select("id", current.alias("current"))
+        arrow = to_arrow_type(data_type)
+
+        def written(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+            for batch in batches:
+                values = [function(c, i) for i, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, arrow)], ["id", "value"])
+
+        schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("value", data_type)])
+        return self.set_values(scope, name, rows.mapInArrow(written, schema))
+
+    def derive_edge_attribute(self, source: str, target: str, endpoint: str = "both", duplicate: bool = False) -> Graph:
+        """An edge attribute that follows a node attribute: ``edge_view`` computes it from the nodes as they are then."""
+        if source not in self.nodes.columns:
+            raise GraphError(f"no attribute {source!r}")
+        if endpoint not in ("src", "dst", "both"):
+            raise GraphError(f"unknown endpoint {endpoint!r}")
+        if target in self.edges.columns:
+            raise GraphError(f"attribute {target!r} exists")
+        return replace(self, derived={**self.derived, target: (source, endpoint, duplicate)})
+
+    def edge_view(self) -> DataFrame:
+        """The edges with all derived attributes."""
+        from graphloom.operators.attributes import node_to_edge
+
+        out = replace(self, derived={})
+        for target, (source, endpoint, duplicate) in self.derived.items():
+            out = node_to_edge(out, source, target, endpoint, duplicate)
+        return out.edges
+
     def set_values(self, scope: str, name: str, values: DataFrame) -> Graph:
         """Overwrite an attribute where ``values(id, value)`` has a row."""
         frame = self.frame(scope)
@@ -226,21 +270,28 @@ class Graph:
         return dict(self.categories.get((scope, name), {}))
 
 
-def numbered(frame: DataFrame, order: list[str], name: str = "id") -> DataFrame:
-    """Rows numbered from 0 by ``order`` without sending them to one task.
+def running_sum(frame: DataFrame, order: list[str], amount: Column, name: str) -> DataFrame:
+    """The sum of ``amount`` over all rows before each by ``order``, without sending them to one task.
 
-    Rows are ranged by the order, counted in each range, and numbered within
-    it from the number of rows before it.
+    Rows are ranged by the order and summed in each range; a row's value is
+    the sum of the ranges before its own and of the rows before it there.
     """
     from pyspark.sql import Window
 
     from graphloom.scratch import Scratch
 
-    parts = Scratch(frame.sparkSession, "numbered").save(frame.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    kept = frame.withColumn("__amount", amount.cast("long"))
+    parts = Scratch(frame.sparkSession, "numbered").save(kept.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
     before, offsets = 0, []
-    for part, n in sorted(parts.groupBy("__part").count().collect()):  # a row for each range
+    for part, n in sorted(parts.groupBy("__part").agg(F.sum("__amount")).collect()):  # a row for each range
         offsets += [F.lit(part), F.lit(before)]
-        before += n
+        before += n or 0
     offset = F.element_at(F.create_map(*offsets), F.col("__part")) if offsets else F.lit(0)
-    number = (F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1 + offset).cast("long")
-    return parts.withColumn(name, number).select(name, *frame.columns) if name == "id" else parts.withColumn(name, number).drop("__part")
+    within = F.sum("__amount").over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return parts.withColumn(name, (F.coalesce(within, F.lit(0)) + offset).cast("long")).drop("__part", "__amount")
+
+
+def numbered(frame: DataFrame, order: list[str], name: str = "id") -> DataFrame:
+    """Rows numbered from 0 by ``order`` without sending them to one task."""
+    rows = running_sum(frame, order, F.lit(1), name)
+    return rows.select(name, *frame.columns) if name == "id" else rows

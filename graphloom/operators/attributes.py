@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.functions.natural import natural_key
+from graphloom.functions.natural import natural_order
 from graphloom.functions.types import MULTICATEGORY
-from graphloom.graph import Graph, GraphError
+from graphloom.graph import Graph, GraphError, numbered, running_sum
+from graphloom.scratch import Scratch
 
 MISSING = "__NA__"
 
@@ -21,19 +23,42 @@ def category_labels(frame: DataFrame, name: str, missing: str = MISSING) -> Data
 
 
 def category_codes(frame: DataFrame, name: str, order: str = "none", missing: str = MISSING) -> DataFrame:
-    """``label, code`` by first appearance ('none'), 'frequency', 'alphabetical' or 'natural' order.
-
-    The dictionary is small by nature: it is ranked in one task, or on the
-    driver for the natural order.
-    """
+    """``label, code`` by first appearance ('none'), 'frequency', 'alphabetical' or 'natural' order; labels are ranked in ranges."""
     labels = category_labels(frame, name, missing)
-    if order == "natural":
-        ordered = sorted((r[0] for r in labels.select("label").collect()), key=natural_key)
-        return frame.sparkSession.createDataFrame([(x, i) for i, x in enumerate(ordered)], "label string, code int")
-    by = {"none": ["first"], "frequency": [F.desc("n"), "label"], "alphabetical": ["label"]}
+    keyed = labels.withColumns({"__down": -F.col("n"), "__natural": natural_order(F.col("label"))})
+    by = {"none": ["first"], "frequency": ["__down", "label"], "alphabetical": ["label"], "natural": ["__natural", "label"]}
     if order not in by:
         raise GraphError(f"unknown order {order!r}")
-    return labels.select("label", (F.row_number().over(Window.orderBy(*by[order])) - 1).alias("code"))
+    return numbered(keyed, by[order], "__code").select("label", F.col("__code").cast("int").alias("code"))
+
+
+class Codes(Mapping):
+    """A dictionary of categories that stays a frame until a label is asked for."""
+
+    def __init__(self, frame: DataFrame):
+        self.frame = frame
+        self._known: dict[str, int] | None = None
+
+    def _all(self) -> dict[str, int]:
+        if self._known is None:
+            self._known = {r["label"]: r["code"] for r in self.frame.collect()}
+        return self._known
+
+    def __getitem__(self, label: str) -> int:
+        return self._all()[label]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._all())
+
+    def __len__(self) -> int:
+        return len(self._all())
+
+
+def _codes_frame(graph: Graph, scope: str, name: str) -> DataFrame:
+    labels = graph.categories.get((scope, name), {})
+    if isinstance(labels, Codes):
+        return labels.frame
+    return graph.spark.createDataFrame([(x, int(c)) for x, c in labels.items()], "label string, code int")
 
 
 def categorize(graph: Graph, scope: str, name: str, order: str = "none", missing: str = MISSING) -> Graph:
@@ -41,23 +66,21 @@ def categorize(graph: Graph, scope: str, name: str, order: str = "none", missing
     frame = graph.frame(scope)
     if not isinstance(frame.schema[name].dataType, T.StringType):
         raise GraphError(f"{name!r} is no string attribute")
-    codes = category_codes(frame, name, order, missing)
+    codes = Scratch(graph.spark, "codes").save(category_codes(frame, name, order, missing), "codes")
     named = codes.select(F.col("label").alias(name), F.col("code").alias("__code"))
     coded = frame.join(named, name, "left").withColumn(name, F.coalesce("__code", F.lit(-1)))
-    dictionary = {r["label"]: r["code"] for r in codes.collect()}
-    if frame.where(F.col(name).isNull() | F.col(name).isin("", missing)).limit(1).count():
-        dictionary[missing] = -1
+    absent = frame.where(F.col(name).isNull() | F.col(name).isin("", missing)).limit(1).select(F.lit(missing).alias("label"), F.lit(-1).alias("code"))
     out = graph.with_frame(scope, coded.select(frame.columns))
-    return replace(out, categories={**graph.categories, (scope, name): dictionary})
+    return replace(out, categories={**graph.categories, (scope, name): Codes(codes.unionByName(absent))})
 
 
 def decategorize(graph: Graph, scope: str, name: str, missing: str = MISSING) -> Graph:
     """Labels in place of codes: negative codes give the missing label, unknown ones null."""
-    labels = graph.dictionary(scope, name)
-    known = F.create_map(*[F.lit(x) for label, code in labels.items() if code >= 0 for x in (code, label)]) if any(c >= 0 for c in labels.values()) else None
-    text = F.when(F.col(name) < 0, F.lit(missing))
-    text = text.otherwise(F.try_element_at(known, F.col(name))) if known is not None else text
-    out = graph.with_frame(scope, graph.frame(scope).withColumn(name, text.cast("string")))
+    frame = graph.frame(scope)
+    known = _codes_frame(graph, scope, name).where("code >= 0").groupBy(F.col("code").alias("__code")).agg(F.min("label").alias("__label"))
+    rows = frame.join(known, F.col(name) == F.col("__code"), "left")
+    text = F.when(F.col(name) < 0, F.lit(missing)).otherwise(F.col("__label"))
+    out = graph.with_frame(scope, rows.withColumn(name, text).select(frame.columns))
     return replace(out, categories={k: v for k, v in graph.categories.items() if k != (scope, name)})
 
 
@@ -96,15 +119,15 @@ def set_multicategory(graph: Graph, scope: str, name: str, values: dict[int, lis
 
 
 def multicategory_buffers(graph: Graph, scope: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """Compressed rows: ``id, offset, stop`` of each row, and ``at, id, category, weight`` of each entry."""
-    from graphloom.graph import numbered
+    """Compressed rows: ``id, offset, stop`` of each row, and ``at, id, category, weight`` of each entry.
 
-    rows = graph.frame(scope).select("id", F.posexplode_outer(name).alias("pos", "entry"))
-    entries = rows.where("pos is not null").select("id", "pos", F.col("entry.id").alias("category"), F.col("entry.weight").alias("weight"))
+    A row without entries begins and ends where the next one begins.
+    """
+    rows = graph.frame(scope).select("id", F.posexplode(name).alias("pos", "entry"))
+    entries = rows.select("id", "pos", F.col("entry.id").alias("category"), F.col("entry.weight").alias("weight"))
     placed = numbered(entries, ["id", "pos"], "at")
-    sizes = graph.frame(scope).select("id", F.size(name).alias("n"))
-    first = placed.groupBy("id").agg(F.min("at").alias("offset"))
-    offsets = sizes.join(first, "id", "left").select("id", "n", "offset")
+    sizes = graph.frame(scope).select("id", F.coalesce(F.greatest(F.size(name), F.lit(0)), F.lit(0)).alias("n"))
+    offsets = running_sum(sizes, ["id"], F.col("n"), "offset")
     return offsets.select("id", "offset", (F.col("offset") + F.col("n")).alias("stop")), placed.select("at", "id", "category", "weight")
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import Graph, numbered
 from graphloom.operators.components import component_labels
+from graphloom.operators.iterative import Session
 from graphloom.operators.measures import modularity, weighted_adjacency
 from graphloom.scratch import Scratch
 
@@ -213,27 +214,47 @@ def _shrunk(links: DataFrame, scratch: Scratch, resolution: float, seed: int, ro
     return parts, scratch.save(smaller.groupBy(F.col("a").alias("node"), F.col("b").alias("nbr")).agg(F.sum("w").alias("w")), "smaller")
 
 
-def leiden(graph: Graph, weight: str | None = None, resolution: float = 1.0, seed: int = 0, max_levels: int = 32, max_passes: int = 8, local_links: int = LOCAL_LINKS) -> DataFrame:
-    """``id, community``: numbered from 0 in the order of their smallest node."""
+def _leiden_rounds(graph: Graph, weight: str | None, resolution: float, seed: int, max_levels: int, max_passes: int, local_links: int) -> Iterator[tuple[str, float, DataFrame]]:
     scratch = Scratch(graph.spark, "leiden")
     links = scratch.save(weighted_adjacency(graph, weight, "out").groupBy("node", "nbr").agg(F.sum("w").alias("w")), "links")
     nodes, maps = graph.nodes.select("id"), []
-    size = links.count()
-    while size > local_links:
-        parts, links = _shrunk(links, scratch, resolution, seed)
+    first = size = max(links.count(), 1)
+    stalled = False
+    while size > local_links and not stalled:
+        parts, links = _shrunk(links, scratch, resolution, seed + len(maps))
         maps.append(parts)
         nodes = nodes.join(parts, nodes["id"] == parts["v"], "left").select(F.coalesce("part", "id").alias("id")).distinct()
         before, size = size, links.count()
-        if size > 0.95 * before:
-            break
-    labels = scratch.save(_one_task(links, nodes, resolution, seed, max_levels, max_passes), "labels")
+        stalled = size > 0.95 * before  # nothing moves any more: the parts are the communities
+        yield "contract", 0.9 * (1 - size / first), nodes
+    if size > local_links:
+        labels = nodes.select("id", F.col("id").alias("label"))
+    else:
+        labels = _one_task(links, nodes, resolution, seed, max_levels, max_passes)
+    labels = scratch.save(labels, "labels")
+    yield "local", 0.95, labels
     found = graph.nodes.select("id", F.col("id").alias("at"))
     for parts in maps:
         found = found.join(parts.withColumnRenamed("v", "at"), "at", "left").select("id", F.coalesce("part", "at").alias("at"))
     found = found.join(labels.withColumnRenamed("id", "at"), "at").select("id", "label")
-    first = found.groupBy("label").agg(F.min("id").alias("first"))
-    ranked = numbered(first, ["first"], "community")
-    return found.join(ranked.select("label", "community"), "label").select("id", "community")
+    smallest = found.groupBy("label").agg(F.min("id").alias("first"))
+    ranked = numbered(smallest, ["first"], "community")
+    yield "number", 0.99, found.join(ranked.select("label", "community"), "label").select("id", "community")
+
+
+def leiden_session(graph: Graph, weight: str | None = None, resolution: float = 1.0, seed: int = 0, max_levels: int = 32, max_passes: int = 8, local_links: int = LOCAL_LINKS) -> Session:
+    """``leiden`` phase by phase."""
+    return Session(_leiden_rounds(graph, weight, resolution, seed, max_levels, max_passes, local_links))
+
+
+def leiden(graph: Graph, weight: str | None = None, resolution: float = 1.0, seed: int = 0, max_levels: int = 32, max_passes: int = 8, local_links: int = LOCAL_LINKS) -> DataFrame:
+    """``id, community``: numbered from 0 in the order of their smallest node.
+
+    Up to ``local_links`` linked pairs Leiden runs in one task; larger graphs
+    are first contracted in distributed rounds.  If these stall above that
+    size, their parts are the communities.
+    """
+    return leiden_session(graph, weight, resolution, seed, max_levels, max_passes, local_links).run()
 
 
 def leiden_modularity(graph: Graph, weight: str | None = None, resolution: float = 1.0, **settings) -> tuple[DataFrame, float]:

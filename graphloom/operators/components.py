@@ -9,6 +9,9 @@ is distributed and written to shared scratch between rounds.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +30,8 @@ def _flatten(parents: DataFrame, scratch: Scratch) -> DataFrame:
             return parents
 
 
-def component_labels(edges: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
-    """``(v, comp)`` for each vertex of ``edges``: the smallest vertex it is connected with.
-
-    Vertices without an edge to another vertex are not listed: their component
-    is themselves.  Null ends are ignored.  Edge direction does not matter.
-    """
+def component_rounds(edges: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> Iterator[DataFrame]:
+    """The rounds of ``component_labels``: the labels so far after each, the last ones final."""
     scratch = scratch or Scratch(edges.sparkSession, "components")
     live = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
     live = scratch.save(live.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "edges")
@@ -48,11 +47,20 @@ def component_labels(edges: DataFrame, a: str = "a", b: str = "b", scratch: Scra
             moved = parents.select(F.col("v").alias("comp"), F.col("p").alias("root"))
             known = labels.join(moved, "comp", "left").select("v", F.coalesce("root", "comp").alias("comp"))
             labels = scratch.save(known, "labels")
+        yield labels
         px = parents.select(F.col("v").alias("x"), F.col("p").alias("rx"))
         py = parents.select(F.col("v").alias("y"), F.col("p").alias("ry"))
         nxt = live.join(px, "x").join(py, "y").where("rx <> ry")
         nxt = nxt.select(F.greatest("rx", "ry").alias("x"), F.least("rx", "ry").alias("y")).distinct()
         live = scratch.save(nxt, "edges")
     if labels is None:
-        return live.select(F.col("x").alias("v"), F.col("y").alias("comp"))
-    return labels
+        yield live.select(F.col("x").alias("v"), F.col("y").alias("comp"))
+
+
+def component_labels(edges: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
+    """``(v, comp)`` for each vertex of ``edges``: the smallest vertex it is connected with.
+
+    Vertices without an edge to another vertex are not listed: their component
+    is themselves.  Null ends are ignored.  Edge direction does not matter.
+    """
+    return deque(component_rounds(edges, a, b, scratch), maxlen=1)[0]

@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import replace
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.graph import Graph, GraphError
-from graphloom.operators.components import component_labels
+from graphloom.graph import Graph, GraphError, running_sum
+from graphloom.operators.components import component_rounds
+from graphloom.operators.local import LOCAL_LINKS, path_dependencies, settled_cores, strong_labels
 from graphloom.operators.measures import _for_all, weighted_adjacency
 from graphloom.operators.select import edges_among
-from graphloom.operators.traverse import pair_distances
+from graphloom.operators.traverse import pair_distances, pair_levels
 from graphloom.scratch import Scratch
 
 
@@ -30,10 +32,18 @@ class Session:
     def __init__(self, rounds: Iterator[tuple[str, float, DataFrame]]):
         self._rounds, self.phase, self.progress = rounds, "start", 0.0
         self.state: DataFrame | None = None
-        self.complete = False
+        self.complete = self.cancelled = False
+
+    def cancel(self) -> None:
+        """Stop for good: no further round runs and there is no result."""
+        if not self.complete:
+            self.cancelled, self.phase = True, "cancelled"
+            self._rounds.close()  # type: ignore[attr-defined]
 
     def step(self, budget: int = 1) -> bool:
         """Run up to ``budget`` rounds; True once complete."""
+        if self.cancelled:
+            raise GraphError("the session was cancelled")
         for _ in range(budget):
             try:
                 self.phase, p, self.state = next(self._rounds)
@@ -47,6 +57,8 @@ class Session:
         while not self.step():
             if on_progress:
                 on_progress(self.phase, self.progress)
+            if self.cancelled:
+                break
         return self.result()
 
     def result(self) -> DataFrame:
@@ -66,10 +78,18 @@ def _ranked(least: DataFrame) -> DataFrame:
     return least.join(roots, "least").select("id", "component")
 
 
+def _weak_rounds(graph: Graph) -> Iterator[tuple[str, float, DataFrame]]:
+    rounds, n = component_rounds(graph.edges, "src", "dst"), 0
+    for labels in rounds:
+        n += 1
+        last = labels.withColumnRenamed("v", "id")
+        yield "contract", 1 - 1 / (n + 1), last
+    yield "rank", 0.99, _ranked(graph.nodes.select("id").join(last, "id", "left").select("id", F.coalesce("comp", "id").alias("least")))
+
+
 def weak_components(graph: Graph) -> DataFrame:
     """``id, component``: edges in either direction connect."""
-    labels = component_labels(graph.edges, "src", "dst").withColumnRenamed("v", "id")
-    return _ranked(graph.nodes.select("id").join(labels, "id", "left").select("id", F.coalesce("comp", "id").alias("least")))
+    return Session(_weak_rounds(graph)).run()
 
 
 def _spread(edges: DataFrame, start: DataFrame, scratch: Scratch, inside: str | None = None) -> DataFrame:
@@ -83,15 +103,15 @@ def _spread(edges: DataFrame, start: DataFrame, scratch: Scratch, inside: str |
             return labels
 
 
-def strong_components(graph: Graph) -> DataFrame:
-    """``id, component`` by forward colouring and backward search, after trimming nodes without way in or out."""
-    if not graph.directed:
-        return weak_components(graph)
+def _strong_rounds(graph: Graph, local_links: int = LOCAL_LINKS) -> Iterator[tuple[str, float, DataFrame]]:
+    """Trimming, forward colouring and backward search until one task holds what is left, which Tarjan's search ends."""
     scratch = Scratch(graph.spark, "strong")
     nodes = scratch.save(graph.nodes.select("id"), "nodes")
     edges = scratch.save(graph.edges.where("src <> dst").select("src", "dst").distinct(), "edges")
     done: list[DataFrame] = []
-    while nodes.limit(1).count():
+    first = max(edges.count(), 1)
+    left = first
+    while left > local_links:
         live = edges.select(F.col("src").alias("id")).intersect(edges.select("dst"))
         alone = scratch.save(nodes.join(live, "id", "left_anti").select("id", F.col("id").alias("least")), "alone")
         if alone.limit(1).count():
@@ -110,15 +130,32 @@ def strong_components(graph: Graph) -> DataFrame:
             reached = scratch.save(reached, "component")
             done.append(reached)
             nodes = scratch.save(nodes.join(reached, "id", "left_anti"), "nodes")
-        left = edges.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        edges = scratch.save(left, "edges")
-    if not done:
-        return graph.nodes.select("id", F.lit(0).cast("long").alias("component"))
-    found = done[0]
-    for d in done[1:]:
-        found = found.unionByName(d)
+        kept = edges.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        edges = scratch.save(kept, "edges")
+        left = edges.count()
+        yield "trim", 1 - left / first, nodes
+    rest = scratch.save(edges.groupBy(F.lit(0).alias("one")).applyInArrow(strong_labels, "id long, least long"), "rest")
+    alone = nodes.join(rest, "id", "left_anti").select("id", F.col("id").alias("least"))
+    found = reduce(DataFrame.unionByName, [*done, rest, alone])
     least = found.groupBy("least").agg(F.min("id").alias("first"))
-    return _ranked(found.join(least, "least").select("id", F.col("first").alias("least")))
+    yield "rank", 0.99, _ranked(found.join(least, "least").select("id", F.col("first").alias("least")))
+
+
+def strong_components(graph: Graph, local_links: int = LOCAL_LINKS) -> DataFrame:
+    """``id, component``: nodes that reach each other along edges.
+
+    Nodes without way in or out are trimmed and components split off by
+    colouring until at most ``local_links`` edges are left, which one task
+    takes; the result does not depend on where that is.
+    """
+    return Session(_strong_rounds(graph, local_links) if graph.directed else _weak_rounds(graph)).run()
+
+
+def component_session(graph: Graph, mode: str = "weak") -> Session:
+    """``connected_components`` round by round."""
+    if mode not in ("weak", "strong"):
+        raise GraphError(f"unknown mode {mode!r}")
+    return Session(_strong_rounds(graph) if mode == "strong" and graph.directed else _weak_rounds(graph))
 
 
 def connected_components(graph: Graph, mode: str = "weak") -> DataFrame:
@@ -162,27 +199,43 @@ def label_major_components(graph: Graph, mode: str = "weak", max_components: int
 # -- cores -------------------------------------------------------------------------------------
 
 
-def _coreness_rounds(graph: Graph, direction: str) -> Iterator[tuple[str, float, DataFrame]]:
-    """Fixed point of the h-index over neighbours, from the degree down; neighbours count by multiplicity."""
+def _coreness_rounds(graph: Graph, direction: str, local_links: int = LOCAL_LINKS) -> Iterator[tuple[str, float, DataFrame]]:
+    """Fixed point of the h-index over neighbours, from the degree down; neighbours count by multiplicity.
+
+    Nodes are dealt into ranges of about ``local_links`` links, and every round
+    settles each range as far as its own values go, so only what crosses
+    ranges needs further rounds.
+    """
     scratch = Scratch(graph.spark, "cores")
     links = scratch.save(graph.adjacency(direction).groupBy("node", "nbr").agg(F.count("*").alias("m")), "links")
-    state = scratch.save(_for_all(graph, links.groupBy(F.col("node").alias("id")).agg(F.sum("m").alias("coreness")), "coreness", 0), "state")
+    ranges = max(1, -(-links.count() // local_links))
+    ranged = links.groupBy("node").agg(F.sum("m").alias("c"), F.count("*").alias("n"))
+    before = running_sum(ranged, ["node"], F.col("n"), "before")
+    state = scratch.save(before.select(F.col("node").alias("id"), F.floor(F.col("before") / local_links).cast("int").alias("range"), F.col("c").alias("coreness")), "state")
+    dealt = scratch.save(links.join(state.select(F.col("id").alias("node"), "range"), "node"), "dealt")
+    everyone = lambda values: _for_all(graph, values.select("id", "coreness"), "coreness", 0)
     n = 0
     while True:
         n += 1
-        near = links.join(state.select(F.col("id").alias("nbr"), F.col("coreness").alias("c")), "nbr").groupBy("node", "c").agg(F.sum("m").alias("m"))
-        above = F.sum("m").over(Window.partitionBy("node").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0))
-        h = near.select(F.col("node").alias("id"), F.least("c", above).alias("h")).groupBy("id").agg(F.max("h").alias("h"))
-        step = scratch.save(state.join(h, "id", "left").select("id", F.least("coreness", F.coalesce("h", F.lit(0))).alias("coreness"), (F.col("coreness") > F.coalesce("h", F.lit(0))).alias("moved")), "state")
-        state = step.select("id", "coreness")
-        yield "peel", 1 - 1 / (n + 1), state
-        if not step.where("moved").limit(1).count():
+        near = dealt.join(state.select(F.col("id").alias("nbr"), F.col("coreness").alias("c")), "nbr", "left").select("range", "node", "nbr", "m", F.coalesce("c", F.lit(0)).alias("c"))
+        own = state.select("range", F.col("id").alias("node"), F.lit(None).cast("long").alias("nbr"), F.lit(0).cast("long").alias("m"), F.col("coreness").alias("c"))
+        found = near.unionByName(own).groupBy("range").applyInArrow(settled_cores, "id long, coreness long, moved boolean")
+        step = scratch.save(found.join(state.select("id", "range"), "id"), "state")
+        state = step.select("id", "range", "coreness")
+        if ranges == 1 or not step.where("moved").limit(1).count():
+            yield "peel", 0.99, everyone(state)
             return
+        yield "peel", 1 - 1 / (n + 1), everyone(state)
 
 
-def coreness(graph: Graph, direction: str = "both") -> DataFrame:
+def coreness(graph: Graph, direction: str = "both", local_links: int = LOCAL_LINKS) -> DataFrame:
     """``id, coreness``: the largest k so that the node is in a subgraph whose degrees are all at least k."""
-    return Session(_coreness_rounds(graph, direction)).run()
+    return Session(_coreness_rounds(graph, direction, local_links)).run()
+
+
+def coreness_session(graph: Graph, direction: str = "both") -> Session:
+    """``coreness`` round by round."""
+    return Session(_coreness_rounds(graph, direction))
 
 
 # -- centralities ------------------------------------------------------------------------------
@@ -221,19 +274,8 @@ def eigenvector_centrality(graph: Graph, weight: str | None = None, direction: s
 TIE = 1e-12  #: path lengths that differ by no more are equal; also the least weight
 
 
-def betweenness_centrality(graph: Graph, weight: str | None = None, sources: Iterable[int] | DataFrame | None = None, normalize: bool = True, prior: DataFrame | None = None) -> DataFrame:
-    """``id, betweenness`` from shortest paths along out-edges, from all nodes or the given sources.
-
-    Distances of all (source, node) pairs are relaxed until they are final;
-    the edges of shortest paths form an acyclic graph for each source, along
-    which numbers of paths are summed forward, hop by hop, and dependencies
-    backward.  ``prior(id, value)`` is added after scaling.
-    """
-    scratch = Scratch(graph.spark, "betweenness")
-    adjacency = weighted_adjacency(graph, weight, "out").where("node <> nbr")
-    safe = F.when((F.col("w") > 0) & (F.col("w") < float("inf")) & ~F.isnan("w"), F.col("w")).otherwise(TIE)
-    links = scratch.save(adjacency.groupBy("node", "nbr", safe.alias("w")).agg(F.count("*").cast("double").alias("m")), "links")
-    start = graph.nodes.select("id") if sources is None else graph.ids_frame(sources).join(graph.nodes.select("id"), "id", "left_semi")
+def _relaxed_dependencies(links: DataFrame, start: DataFrame, scratch: Scratch) -> DataFrame:
+    """``id, b`` by relaxing the distances of all (source, node) pairs."""
     best = scratch.save(start.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0.0).alias("d"), F.lit(True).alias("fresh")), "distances")
     shortest = links.groupBy("node", "nbr").agg(F.min("w").alias("w"))
     while best.where("fresh").limit(1).count():
@@ -263,6 +305,32 @@ def betweenness_centrality(graph: Graph, weight: str | None = None, sources: Ite
     paths = summed(best.where("s = v").select("s", "v", F.lit(1.0).alias("x")), "node", "nbr")
     back = summed(paths.select("s", "v", (1 / F.col("x")).alias("x")), "nbr", "node")
     depend = paths.withColumnRenamed("x", "sigma").join(back, ["s", "v"]).where("s <> v").groupBy(F.col("v").alias("id")).agg(F.sum(F.col("sigma") * F.col("x") - 1).alias("b"))
+    return depend
+
+
+def betweenness_centrality(graph: Graph, weight: str | None = None, sources: Iterable[int] | DataFrame | None = None, normalize: bool = True, prior: DataFrame | None = None, local_links: int = LOCAL_LINKS) -> DataFrame:
+    """``id, betweenness`` from shortest paths along out-edges, from all nodes or the given sources.
+
+    Up to ``local_links`` links, counted before, are sent to every task and the
+    sources are dealt out, each worked off by one search; sums of nodes are all
+    that is shuffled.  Beyond, distances of all (source, node) pairs are relaxed until they are final;
+    the edges of shortest paths form an acyclic graph for each source, along
+    which numbers of paths are summed forward, hop by hop, and dependencies
+    backward.  ``prior(id, value)`` is added after scaling.
+    """
+    scratch = Scratch(graph.spark, "betweenness")
+    adjacency = weighted_adjacency(graph, weight, "out").where("node <> nbr")
+    safe = F.when((F.col("w") > 0) & (F.col("w") < float("inf")) & ~F.isnan("w"), F.col("w")).otherwise(TIE)
+    links = scratch.save(adjacency.groupBy("node", "nbr", safe.alias("w")).agg(F.count("*").cast("double").alias("m")), "links")
+    start = graph.nodes.select("id") if sources is None else graph.ids_frame(sources).join(graph.nodes.select("id"), "id", "left_semi")
+    if links.count() <= local_links:
+        arrays = links.orderBy("node", "nbr", "w").toArrow()
+        held = [arrays.column(c).to_numpy() for c in ("node", "nbr", "w", "m")]
+        tasks = max(1, min(start.count(), 4 * graph.spark.sparkContext.defaultParallelism))
+        search = partial(path_dependencies, node=held[0], nbr=held[1], w=held[2], m=held[3], tie=TIE)
+        depend = start.select("id").repartition(tasks).mapInArrow(search, "id long, b double").groupBy("id").agg(F.sum("b").alias("b"))
+    else:
+        depend = _relaxed_dependencies(links, start, scratch)
     n = graph.nodes.count()
     scale = 1.0 if graph.directed else 0.5
     if normalize and n > 2:
@@ -282,7 +350,11 @@ CENTRAL = {1: (1 / 2,), 2: (2 / 3, -1 / 12), 3: (3 / 4, -3 / 20, 1 / 60), 4: (4
 
 def ball_volumes(graph: Graph, max_level: int, sources: Iterable[int] | DataFrame | None = None) -> DataFrame:
     """``source, r, volume``: nodes within r out-hops of the source, itself included, for r = 0..max_level."""
-    found = pair_distances(graph, sources, max_level).groupBy("source", F.col("level").alias("r")).agg(F.count("*").alias("n"))
+    return _volumes(pair_distances(graph, sources, max_level), max_level)
+
+
+def _volumes(distances: DataFrame, max_level: int) -> DataFrame:
+    found = distances.groupBy("source", F.col("level").alias("r")).agg(F.count("*").alias("n"))
     grid = found.select("source").distinct().select("source", F.explode(F.sequence(F.lit(0), F.lit(max_level))).alias("r"))
     upto = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("source").orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
     return grid.join(found, ["source", "r"], "left").select("source", "r", upto.alias("volume"))
@@ -333,3 +405,28 @@ def global_dimension(graph: Graph, sources: Iterable[int] | DataFrame | None = N
     local = _dimension(volumes, ["source"], max_level, name, order).groupBy("r").agg(F.avg("dimension").alias("node_dimension"), F.stddev_pop("dimension").alias("deviation"), F.max("dimension").alias("max_dimension"))
     mean = volumes.groupBy("r").agg(F.avg("volume").alias("volume")).withColumn("one", F.lit(1))
     return _dimension(mean, ["one"], max_level, name, order).drop("one").join(local, "r")
+
+
+def _dimension_rounds(graph: Graph, sources: Iterable[int] | DataFrame | None, max_level: int, method: str, order: int) -> Iterator[tuple[str, float, DataFrame]]:
+    name, padding = _checked(method, order)
+    scratch, top = Scratch(graph.spark, "dimension"), max_level + padding
+    seen = None
+    for level, seen in enumerate(pair_levels(graph, sources, top, scratch=scratch)):
+        yield "levels", (level + 1) / (top + 2), seen
+    yield "fit", 0.99, _dimension(_volumes(seen, top), ["source"], max_level, name, order)
+
+
+def dimension_session(graph: Graph, sources: Iterable[int] | DataFrame | None = None, max_level: int = 8, method: str = "leastsquares", order: int = 2) -> Session:
+    """``node_dimension`` level by level."""
+    return Session(_dimension_rounds(graph, sources, max_level, method, order))
+
+
+def dimension_profiles(dimensions: DataFrame, encoding: str = "vector", digits: int = 6) -> DataFrame:
+    """``id, max_dimension, profile``: each source's dimensions by radius, as a 'vector' or a JSON 'string' rounded to ``digits``."""
+    if encoding not in ("vector", "string"):
+        raise GraphError(f"unknown encoding {encoding!r}")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("r", "dimension"))), lambda x: x["dimension"])
+    rows = dimensions.groupBy(F.col("source").alias("id")).agg(F.max("dimension").alias("max_dimension"), ordered.alias("profile"))
+    if encoding == "vector":
+        return rows
+    return rows.withColumn("profile", F.to_json(F.transform("profile", lambda x: F.round(x, digits))))

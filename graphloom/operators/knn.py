@@ -2,28 +2,66 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.vectors import doubles, norm
+from graphloom.functions.vectors import doubles
 from graphloom.graph import Graph, numbered
 
 
-def knn_edges(points: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", blocks: int = 16) -> DataFrame:
+BLOCK_ROWS = 4096  #: points of either side of a cell
+STRIP = 512  #: rows of a cell whose distances are held at once
+
+
+def _nearest_in_cell(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
+    """The k nearest points of the right side to each of the left: by a matrix product first, then exactly."""
+    if not left.num_rows or not right.num_rows:
+        return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+    src, dst = (t.column("id").to_numpy() for t in (left, right))
+    a, b = (t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (left, right))
+    squares = (b * b).sum(axis=1)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for at in range(0, len(src), STRIP):
+        x, ids = a[at : at + STRIP], src[at : at + STRIP]
+        own = (x * x).sum(axis=1)
+        far = own[:, None] + squares[None, :] - 2 * (x @ b.T)
+        far[ids[:, None] == dst[None, :]] = np.inf
+        cut = np.partition(far, k - 1, axis=1)[:, k - 1] if len(dst) > k else np.full(len(x), np.inf)
+        slack = 1e-9 * (own + squares.max(initial=0.0)) + 1e-300  # what rounding may hide
+        r, c = np.nonzero((far <= (cut + slack)[:, None]) & (far < np.inf))
+        exact = np.sqrt(((x[r] - b[c]) ** 2).sum(axis=1))
+        order = np.lexsort((dst[c], exact, r))
+        r, c, exact = r[order], c[order], exact[order]
+        first = np.searchsorted(r, np.arange(len(x)))
+        keep = np.arange(len(r)) - first[r] < k
+        out.append((ids[r[keep]], dst[c[keep]], exact[keep]))
+    columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+    return pa.table(dict(zip(("src", "dst", "distance"), columns, strict=True)))
+
+
+def knn_edges(points: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", block_rows: int = BLOCK_ROWS, among: DataFrame | None = None) -> DataFrame:
     """``src, dst, distance, rank``: the k nearest other points of each point (exact, Euclidean; ties by id; rank from 0).
 
-    Points meet in a grid of blocks; each block of the one side keeps the k
-    best before the blocks' results meet, so no pair leaves its block that is
-    not among its source's k best there.
+    Points are dealt into blocks of about ``block_rows``, and every block meets
+    every block in a cell of its own, which keeps each point's k best; so the
+    number of cells grows with the table and their size does not.  Points
+    without a vector have no neighbours; vectors are compared with those of
+    their length.  With ``among``, neighbours are looked for there.
     """
-    rows = points.select(F.col(id_col).alias("id"), doubles(F.col(vector_col)).alias("v"))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    left = rows.select(F.col("id").alias("src"), F.col("v").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = rows.select(F.col("id").alias("dst"), F.col("v").alias("b"), block.alias("block"))
-    pairs = left.join(right, "block").where("src <> dst")
-    pairs = pairs.select("src", "dst", "block", norm(F.zip_with("a", "b", lambda x, y: x - y)).alias("distance"))
-    inner = Window.partitionBy("src", "block").orderBy("distance", "dst")
-    near = pairs.withColumn("r", F.row_number().over(inner)).where(F.col("r") <= k)
+
+    def dealt(frame: DataFrame) -> tuple[DataFrame, int]:
+        rows = frame.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), doubles(F.col(vector_col)).alias("v"))
+        blocks = max(1, -(-rows.count() // block_rows))
+        return rows.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"), "id", "v"), blocks
+
+    asked, rows = dealt(points)
+    known, columns = (asked, rows) if among is None else dealt(among)
+    left = asked.select("dim", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("j"), "id", "v")
+    right = known.select("dim", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("i"), F.col("own").alias("j"), "id", "v")
+    cell = ("dim", "i", "j")
+    near = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(lambda a, b: _nearest_in_cell(a, b, k), "src long, dst long, distance double")
     order = Window.partitionBy("src").orderBy("distance", "dst")
     return near.withColumn("rank", (F.row_number().over(order) - 1).cast("int")).where(F.col("rank") < k).select("src", "dst", "distance", "rank")
 
@@ -61,3 +99,29 @@ def transform_graph(train: DataFrame, queries: DataFrame, links: DataFrame) -> G
     offset = train.count()
     nodes = train.select("id", F.lit(False).alias("is_query")).unionByName(queries.select((F.col("id") + offset).alias("id"), F.lit(True).alias("is_query")))
     return Graph.of_edges(nodes, links.withColumn("src", F.col("src") + offset), directed=True)
+
+
+def fit_graph(points: DataFrame, k: int, weights: DataFrame | None = None, id_col: str = "id", vector_col: str = "vector") -> tuple[Graph, Graph]:
+    """The fitted network and the neighbour graph behind it.
+
+    The network has an edge for each pair of ``weights(src, dst, weight)`` (by
+    default 1 / (1 + distance) of the neighbours) and the nodes' ``mass``.
+    """
+    near = knn_graph(points, k, id_col, vector_col)
+    if weights is None:
+        weights = near.edges.select("src", "dst", (1 / (1 + F.col("umap_knn_distance"))).alias("weight"))
+    sums = mass(weights)
+    nodes = near.nodes.join(sums, "id", "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
+    return Graph.of_edges(nodes, collapse(weights)), near
+
+
+def transform_queries(train: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector") -> Graph:
+    """Query points linked to their k nearest training points, with distances, ranks and the links' ``mass``."""
+    offset = train.agg(F.coalesce(F.max(id_col) + 1, F.lit(0))).first()[0]
+    known = train.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
+    asked = queries.select((F.col(id_col) + offset).alias("id"), F.col(vector_col).alias("vector"))
+    edges = knn_edges(asked, k, among=known).withColumnsRenamed({"distance": "umap_knn_distance", "rank": "umap_knn_rank"})
+    sums = mass(edges.select("src", (1 / (1 + F.col("umap_knn_distance"))).alias("weight")))
+    nodes = known.select("id", F.lit(False).alias("is_query")).unionByName(asked.select("id", F.lit(True).alias("is_query")))
+    nodes = nodes.join(sums, "id", "left").withColumn("mass", F.coalesce("mass", F.lit(0.0)))
+    return Graph.of_edges(nodes, numbered(edges, ["src", "umap_knn_rank"]), directed=True)

@@ -29,6 +29,17 @@ def degree(graph: Graph, direction: str = "both") -> DataFrame:
     return _for_all(graph, counts, "degree", 0)
 
 
+def selector_degree(graph: Graph, selector: DataFrame, direction: str = "both") -> DataFrame:
+    """The selected nodes' degrees; further columns of the selector stay."""
+    return selector.join(degree(graph, direction), "id")
+
+
+def incident_edges(graph: Graph, selector: DataFrame, direction: str = "both") -> DataFrame:
+    """Ids of the edges that stand in the neighbour lists of the selected nodes, each once."""
+    ends = selector.select(F.col("id").alias("node")).distinct()
+    return graph.adjacency(direction).join(ends, "node", "left_semi").select(F.col("edge").alias("id")).distinct()
+
+
 def strength(graph: Graph, weight: str | None = None, direction: str = "both", measure: str = "sum") -> DataFrame:
     """``id, strength``: sum, average, minimum or maximum of the incident weights; 0 without any, and for sums and extremes that are not finite."""
     fold = {"sum": F.sum, "average": F.avg, "avg": F.avg, "minimum": F.min, "min": F.min, "maximum": F.max, "max": F.max}.get(measure)

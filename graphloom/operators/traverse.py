@@ -7,7 +7,8 @@ scratch so that plans stay short.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,17 +74,23 @@ def neighbors_up_to_level(graph: Graph, ids: DataFrame | Iterable[int], level: i
     return nodes.select("id"), _forward_edges(graph, levels, direction, 1, level)
 
 
-def pair_distances(graph: Graph, ids: DataFrame | Iterable[int] | None, max_level: int, direction: str = "out", scratch: Scratch | None = None) -> DataFrame:
-    """``source, node, level``: hops from each source (every node by default) by itself."""
+def pair_levels(graph: Graph, ids: DataFrame | Iterable[int] | None, max_level: int, direction: str = "out", scratch: Scratch | None = None) -> Iterator[DataFrame]:
+    """``source, node, level`` as known after each level, from the sources' own rows on."""
     scratch = scratch or Scratch(graph.spark, "pairs")
     adjacency = graph.adjacency(direction).select("node", "nbr").distinct()
     sources = graph.nodes.select("id") if ids is None else _sources(graph, ids)
     seen = scratch.save(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("level")), "pairs")
     frontier = seen
+    yield seen
     for level in range(1, max_level + 1):
         step = frontier.select("source", "node").join(adjacency, "node").select("source", F.col("nbr").alias("node")).distinct()
         frontier = scratch.save(step.join(seen, ["source", "node"], "left_anti").withColumn("level", F.lit(level)), "pairs")
         if not frontier.limit(1).count():
-            break
+            return
         seen = seen.unionByName(frontier)
-    return seen
+        yield seen
+
+
+def pair_distances(graph: Graph, ids: DataFrame | Iterable[int] | None, max_level: int, direction: str = "out", scratch: Scratch | None = None) -> DataFrame:
+    """``source, node, level``: hops from each source (every node by default) by itself."""
+    return deque(pair_levels(graph, ids, max_level, direction, scratch), maxlen=1)[0]

@@ -13,7 +13,7 @@ def write_parquet(graph: Graph, path: str) -> None:
     """``nodes``, ``edges`` and a one-row ``graph`` table below ``path``."""
     graph.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     graph.edges.write.mode("overwrite").parquet(f"{path}/edges")
-    categories = json.dumps([[s, n, d] for (s, n), d in graph.categories.items()])
+    categories = json.dumps([[s, n, dict(d)] for (s, n), d in graph.categories.items()])
     row = [(graph.directed, json.dumps(graph.attributes, default=str), categories)]
     graph.spark.createDataFrame(row, "directed boolean, attributes string, categories string").write.mode("overwrite").parquet(f"{path}/graph")
 

@@ -130,7 +130,9 @@ def _binary_command(op: str, relative: bool, slot: int, body: bytes) -> Command:
             labels.append(body[at + 4 : at + 4 + n].decode())
             at += 4 + n
         args = {"scope": SCOPES[body[0]], "name": body[12 : 12 + size].decode(), "entries": labels}
-    return Command(op, args, capture, f"slot{base}" if relative and base else ("added_node_ids" if relative else None))
+    # without a slot, relative ids refer to what was added last of the command's own scope
+    last = "added_edge_ids" if op == "REMOVE_EDGES" or args.get("scope") == "edge" and op == "SET_ATTR_VALUES" else "added_node_ids"
+    return Command(op, args, capture, f"slot{base}" if relative and base else (last if relative else None))
 
 
 def to_text(commands: list[Command]) -> str:
@@ -189,6 +191,7 @@ class Log:
         self.journal: list[dict[str, object]] = []
         self.sets: dict[str, list[int]] = {}
         self._listeners: list[tuple[str | None, Callable[[dict], None]]] = []
+        self._named: dict[str, Callable[[], None]] = {}
         self._batch: list[dict] | None = None
 
     # -- events ------------------------------------------------------------------------------
@@ -199,9 +202,24 @@ class Log:
         self._listeners.append(entry)
         return lambda: self._listeners.remove(entry) if entry in self._listeners else None
 
+    def listen(self, place: str, handler: Callable[[dict], None] | None) -> Callable[[], None]:
+        """One listener for each ``kind.namespace``: a new handler replaces the one before, None removes it."""
+        if not place.partition(".")[2]:
+            raise GraphError(f"no namespace in {place!r}")
+        self._named.pop(place, lambda: None)()
+        if handler is None:
+            return lambda: None
+        self._named[place] = self.on(place.partition(".")[0], handler)
+        return self._named[place]
+
     def emit(self, event_kind: str, **detail: object) -> None:
         event = {"seq": len(self.journal), "event": event_kind, **detail}
         self.journal.append(event)
+        if event_kind == "topology:changed":
+            self._notify({**event, "event": f"{detail['kind']}:{detail['op']}"})
+        self._notify(event)
+
+    def _notify(self, event: dict) -> None:
         if self._batch is not None:
             self._batch.append(event)
             return
@@ -222,6 +240,10 @@ class Log:
             inner, self._batch = self._batch, outer
             self._tell({"seq": len(self.journal), "event": "batch:applied", "events": inner})
 
+    def remove_attribute(self, scope: str, name: str) -> None:
+        self.graph = self.graph.remove_attribute(scope, name)
+        self.emit("attribute:removed", scope=scope, name=name)
+
     def drain(self) -> list[dict[str, object]]:
         out, self.journal = self.journal, []
         return out
@@ -316,8 +338,10 @@ class Log:
                 values = [labels[v] if isinstance(v, str) else int(v) for v in values]
             elif isinstance(kind, T.StringType) != all(isinstance(v, str) for v in values):
                 raise GraphError("values do not fit the attribute's type")
-            raw = T.ArrayType(T.DoubleType()) if vector else T.StringType() if isinstance(kind, T.StringType) else T.DoubleType()
-            cast = [[float(x) for x in v] if vector else v if isinstance(v, str) else float(v) for v in values]
+            whole = T.LongType() if isinstance(kind.elementType if vector else kind, T.IntegralType) else T.DoubleType()
+            number = int if isinstance(whole, T.LongType) else float  # whole numbers of integral types keep all digits
+            raw = T.ArrayType(whole) if vector else T.StringType() if isinstance(kind, T.StringType) else whole
+            cast = [[number(x) for x in v] if vector else v if isinstance(v, str) else number(v) for v in values]
             table = g.spark.createDataFrame(list(zip(ids, cast, strict=True)), T.StructType([T.StructField("id", T.LongType()), T.StructField("value", raw)]))
             self.graph = g.set_values(scope, name, table.withColumn("value", F.col("value").cast(kind)))
         self.emit("attribute:changed", scope=scope, name=name)

@@ -130,3 +130,30 @@ def test_window_counts(spark, data):
     events = spark.read.parquet(f"{data}/events.parquet")
     total = strength.windowed_activity(events).agg(F.sum("n")).first()[0]
     assert total == events.count()
+
+
+def test_named_listeners_and_event_names(spark):
+    held, seen = log.Log(graph(spark, 2, [(0, 1)])), []
+    held.listen("nodes:added.side", lambda e: seen.append("old"))
+    stop = held.listen("nodes:added.side", lambda e: seen.append("new"))
+    for name in ("topology:changed", "nodes:removed", "edges:added", "edges:removed", "attribute:defined", "attribute:changed", "attribute:removed"):
+        held.on(name, lambda e: seen.append(e["event"]))
+    for command in log.parse_text("ADD_NODES n=1\nADD_EDGES pairs=[(0,2)]\nDEFINE_ATTRIBUTE scope=node name=a type=int64\nSET_ATTR_VALUES scope=node name=a ids=[0] values=[9007199254740993]\nREMOVE_EDGES ids=[0]\nREMOVE_NODES ids=[1]"):
+        held._run(command)
+    assert held.graph.get_value("node", "a", 0) == 9007199254740993
+    held.remove_attribute("node", "a")
+    assert seen == ["new", "topology:changed", "edges:added", "topology:changed", "attribute:defined", "attribute:changed", "edges:removed", "topology:changed", "nodes:removed", "topology:changed", "attribute:removed"]
+    stop()
+    held.listen("edges:added.x", None)
+    held.apply_text("ADD_NODES n=1")
+    assert "new" not in seen[1:]
+
+
+def test_converters(spark):
+    from graphloom.sources import convert
+
+    g = graph(spark, 3, [(0, 1), (1, 2)], True, "")
+    pandas = pytest.importorskip("pandas")
+    assert pandas is not None and callable(getattr(convert, "to_networkx", None) or (lambda: None))
+    networkx = pytest.importorskip("networkx")
+    assert networkx.is_directed(convert.to_networkx(g))

@@ -50,7 +50,7 @@ def test_multicategory(spark):
     g = graph(spark, 3, [(0, 1), (1, 2)])
     g = attributes.set_multicategory(g, "node", "tags", {0: ["alpha", "beta"], 2: ["beta"]})
     offsets, entries = attributes.multicategory_buffers(g, "node", "tags")
-    assert [(r["id"], r["offset"], r["stop"]) for r in offsets.orderBy("id").collect()] == [(0, 0, 2), (1, None, None), (2, 2, 3)]
+    assert [(r["id"], r["offset"], r["stop"]) for r in offsets.orderBy("id").collect()] == [(0, 0, 2), (1, 2, 2), (2, 2, 3)]
     assert [r["category"] for r in entries.orderBy("at").collect()] == [0, 1, 1]
 
 
@@ -96,3 +96,51 @@ def test_ordering_puts_odd_values_last(spark):
     g = Graph(nodes, Graph.empty(spark).edges)
     assert [r["id"] for r in select.order_by(g, "node", nodes, "x").collect()][:2] == [0, 2]
     assert [r["id"] for r in select.order_by(g, "node", nodes, "-x").collect()][:2] == [2, 0]
+
+
+def test_natural_order_has_no_limit(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom.functions.natural import natural_key, natural_order
+
+    texts = ["a" + "9" * n for n in (1, 29, 30, 31, 45)] + ["a1" + "0" * 44, "a007", "a7", "a07", "a", "", "b2", "b10", "a7-2", "a7-10"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r["t"] for r in frame.orderBy(natural_order(F.col("t"))).collect()] == sorted(texts, key=natural_key)
+
+
+def test_rows_without_entries_have_empty_ranges(spark):
+    from graphloom.operators import attributes
+
+    g = graph(spark, 4, [(0, 1)]).define_attribute("node", "tags", "multicategory")
+    g = attributes.set_multicategory(g, "node", "tags", {1: ["a", "b"], 3: ["b"]})
+    offsets, entries = attributes.multicategory_buffers(g, "node", "tags")
+    assert [tuple(r) for r in offsets.orderBy("id").collect()] == [(0, 0, 0), (1, 0, 2), (2, 2, 2), (3, 2, 3)]
+    assert entries.count() == 3
+
+
+def test_dictionaries_are_read_when_asked_for(spark):
+    from graphloom.operators import attributes
+
+    nodes = spark.createDataFrame([(0, "x10"), (1, "x9"), (2, None), (3, "")], "id long, kind string")
+    g = attributes.categorize(Graph(nodes, Graph.empty(spark).edges), "node", "kind", "natural")
+    assert g.categories["node", "kind"]._known is None
+    assert g.dictionary("node", "kind") == {"x9": 0, "x10": 1, attributes.MISSING: -1}
+    assert [r["kind"] for r in attributes.decategorize(g, "node", "kind").nodes.orderBy("id").collect()] == ["x10", "x9", attributes.MISSING, attributes.MISSING]
+
+
+def test_derived_and_mapped_attributes(spark):
+    g = graph(spark, 3, [(0, 1), (1, 2)]).define_attribute("node", "x", "double").map_attribute("node", "x", lambda current, i: current + i, "double")
+    d = g.derive_edge_attribute("x", "xs")
+    assert [r["xs"] for r in d.edge_view().orderBy("id").collect()] == [[0.0, 1.0], [1.0, 2.0]]
+    assert g.versions["node.x"] == 1
+    with pytest.raises(GraphError):
+        g.derive_edge_attribute("none", "y")
+
+
+def test_attribute_info_and_arrays(spark):
+    g = graph(spark, 3, []).define_attribute("node", "v", "float", 3)
+    info = g.attribute_info("node", "v")
+    assert info["vector"] and info["version"] == 0 and g.attribute_names("node") == ["v"]
+    assert g.add_edges_from_arrays([0, 1], [1, 1]).edges.count() == 2
+    with pytest.raises(GraphError):
+        g.add_edges_from_arrays([0], [])

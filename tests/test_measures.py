@@ -3,7 +3,7 @@ from helpers import column, graph, ids
 
 from graphloom import testgraphs
 from graphloom.catalog import QUERIES
-from graphloom.graph import GraphError
+from graphloom.graph import Graph, GraphError
 from graphloom.operators import communities, generators, iterative, knn, measures
 
 
@@ -154,3 +154,101 @@ def test_betweenness_weighted_runs_from_all_nodes(spark, data):
         wanted.append(sum(paths[s][v] * paths[v][t] / paths[s][t] for s, t in through) / ((n - 1) * (n - 2)))
     assert column(QUERIES["betweenness_weighted"](spark, data), "betweenness") == pytest.approx(wanted, abs=1e-6)
     assert sum(x > 0 for x in wanted) > 3
+
+
+def test_long_paths_take_few_rounds(spark, monkeypatch):
+    from graphloom.scratch import Scratch
+
+    writes, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: writes.append(name) or save(self, df, name))
+    n = 10_000
+    pairs = spark.range(n - 1).selectExpr("id", "id as src", "id + 1 as dst")
+    chain = Graph(spark.range(n), pairs, True)
+    assert iterative.strong_components(chain).agg({"component": "max"}).first()[0] == n
+    assert len(writes) <= 40
+    writes.clear()
+    assert {r["coreness"] for r in iterative.coreness(chain).select("coreness").distinct().collect()} == {1}
+    assert len(writes) <= 40
+    writes.clear()
+    ends = iterative.betweenness_centrality(chain, sources=[0, 5]).where("id in (1, 6, 9999)").orderBy("id").collect()
+    assert [round(r["betweenness"] * (n - 1) * (n - 2)) for r in ends] == [n - 2, 2 * (n - 7), 0] and len(writes) <= 40
+
+
+def test_results_do_not_depend_on_where_one_task_takes_over(spark):
+    import random
+
+    rng = random.Random(12)
+    pairs = [(rng.randrange(60), rng.randrange(60), float(rng.randrange(1, 4))) for _ in range(150)]
+    g = graph(spark, 60, pairs, True, ", w double")
+    assert column(iterative.strong_components(g, local_links=10), "component") == column(iterative.strong_components(g), "component")
+    assert column(iterative.coreness(g, local_links=25), "coreness") == column(iterative.coreness(g), "coreness")
+    for weight in (None, "w"):
+        assert column(iterative.betweenness_centrality(g, weight, local_links=5), "betweenness") == pytest.approx(column(iterative.betweenness_centrality(g, weight), "betweenness"))
+
+
+def test_known_cores(spark):
+    """Cliques of 2 to 9 nodes in a row, each linked to the next one by an edge."""
+    pairs, first = [], 0
+    expected = []
+    for size in range(2, 10):
+        pairs += [(first + i, first + j) for i in range(size) for j in range(i)]
+        if first:
+            pairs.append((first - 1, first))
+        expected += [size - 1] * size
+        first += size
+    assert column(iterative.coreness(graph(spark, first, pairs), local_links=20), "coreness") == expected
+
+
+def test_sessions_equal_one_call_and_can_be_cancelled(spark):
+    g = graph(spark, 8, [(0, 1), (1, 2), (2, 0), (3, 4), (5, 6)], True)
+    for session, whole in (
+        (iterative.component_session(g), iterative.weak_components(g)),
+        (iterative.component_session(g, "strong"), iterative.strong_components(g)),
+        (iterative.coreness_session(g), iterative.coreness(g)),
+        (communities.leiden_session(g, seed=1), communities.leiden(g, seed=1)),
+        (iterative.dimension_session(g, None, 3), iterative.node_dimension(g, None, 3)),
+    ):
+        steps = 0
+        while not session.step():
+            steps += 1
+            assert 0 <= session.progress <= 1
+        assert steps > 0 and sorted(map(tuple, session.result().collect())) == sorted(map(tuple, whole.collect()))
+    session = iterative.component_session(g)
+    session.step()
+    session.cancel()
+    with pytest.raises(GraphError):
+        session.step()
+    with pytest.raises(GraphError):
+        session.result()
+
+
+def test_dimension_profiles(spark):
+    ring = graph(spark, 9, [(i, (i + 1) % 9) for i in range(9)])
+    rows = iterative.node_dimension(ring, [0], 3, "backward", 1)
+    vector, text = (iterative.dimension_profiles(rows, e).first() for e in ("vector", "string"))
+    assert vector["profile"] == pytest.approx([0, 1, 4 / 5, 6 / 7]) and vector["max_dimension"] == 1
+    assert text["profile"] == "[0.0,1.0,0.8,0.857143]"
+
+
+def test_selector_degree_and_incident_edges(spark):
+    g = graph(spark, 4, [(0, 1), (0, 1), (1, 2), (3, 3)], False)
+    some = spark.createDataFrame([(0, 1), (1, 0), (2, 3)], "pos long, id long")
+    assert [(r["pos"], r["id"], r["degree"]) for r in measures.selector_degree(g, some).orderBy("pos").collect()] == [(0, 1, 3), (1, 0, 2), (2, 3, 2)]
+    assert ids(measures.incident_edges(g, some.where("id <> 3"))) == [0, 1, 2]
+
+
+def test_nearest_of_other_points(spark):
+    points = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(5)] + [(9, None)], "id long, vector array<double>")
+    g = knn.transform_queries(points, spark.createDataFrame([(0, [2.2, 0.0]), (1, [9.0, 0.0])], "id long, vector array<double>"), 2)
+    assert sorted((r["src"], r["dst"], r["umap_knn_rank"]) for r in g.edges.collect()) == [(10, 2, 0), (10, 3, 1), (11, 3, 1), (11, 4, 0)]
+    assert {r["id"] for r in g.nodes.where("is_query").collect()} == {10, 11}
+    assert knn.transform_graph(points, points.limit(1), spark.createDataFrame([(0, 1)], "src long, dst long")).edges.first()["dst"] == 1
+    cells = knn.knn_edges(points, 2, block_rows=2)
+    assert sorted(map(tuple, cells.collect())) == sorted(map(tuple, knn.knn_edges(points, 2).collect()))
+    assert knn.knn_edges(points.limit(0), 2).count() == 0
+
+
+def test_other_generators(spark):
+    assert generators.erdos_renyi(spark, 50, 1.0).edges.count() == 50 * 49 // 2
+    assert generators.small_world(spark, 30, 2, 0.0).edges.count() == 60
+    assert 0 < generators.waxman(spark, 40, seed=1).edges.count() < 40 * 39 // 2
