@@ -200,20 +200,39 @@ def _similar(sk: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, thresh
     return ok
 
 
+def _placed(sets: list[np.ndarray], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All members of the sets by their place among the values: (places, sets)."""
+    at = np.searchsorted(values, np.concatenate(sets))
+    order = np.argsort(at, kind="stable")
+    return at[order], np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]
+
+
+def _ones(placed: tuple[np.ndarray, np.ndarray], rows: int, low: int, width: int) -> np.ndarray:
+    """Which sets have which of the values from ``low`` on."""
+    a, b = np.searchsorted(placed[0], [low, low + width])
+    out = np.zeros((rows, width), np.float32)
+    out[placed[1][a:b], placed[0][a:b] - low] = 1
+    return out
+
+
 def _shares(bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Jaccard similarity of each pair by its samples, and which pairs' samples are their whole sets."""
     halvings = np.array([b[0] for b in bags])
     held = [np.unique(b[2:]) for b in bags]
     fewer = [np.unique(b[2 : 2 + b[1]]) for b in bags]
-    values, at = np.unique(np.concatenate(held), return_inverse=True)
-    full = np.zeros((len(bags), len(values)), np.float32)
-    full[np.repeat(np.arange(len(bags)), [len(h) for h in held]), at] = 1
-    both, size = full @ full.T, np.array([len(h) for h in held], float)
+    values = np.unique(np.concatenate(held))
+    mixed = len(set(halvings.tolist())) > 1
+    both, cut = np.zeros((len(bags), len(bags)), np.float32), np.zeros((len(bags), len(bags)), np.float32)
+    wholes, parts = _placed(held, values), _placed(fewer, values) if mixed else None
+    for low in range(0, len(values), 16_384):  # a matrix of all values at once might be large
+        full = _ones(wholes, len(bags), low, 16_384)
+        both += full @ full.T
+        if parts is not None:
+            cut += _ones(parts, len(bags), low, 16_384) @ full.T
+    size = np.array([len(h) for h in held], float)
     left, right = np.broadcast_to(size[:, None], both.shape).copy(), np.broadcast_to(size[None, :], both.shape).copy()
-    if len(set(halvings.tolist())) > 1:
-        less = np.zeros_like(full)
-        less[np.repeat(np.arange(len(bags)), [len(h) for h in fewer]), np.searchsorted(values, np.concatenate(fewer))] = 1
-        cut, least = less @ full.T, np.array([len(h) for h in fewer], float)
+    if mixed:
+        least = np.array([len(h) for h in fewer], float)
         above = halvings[:, None] < halvings[None, :]
         both = np.where(above, cut, np.where(above.T, cut.T, both))
         left, right = np.where(above, least[:, None], left), np.where(above.T, least[None, :], right)
