@@ -26,6 +26,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -117,6 +118,15 @@ def _chars(text: str) -> np.ndarray:
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _sums_within(x: np.ndarray, heads: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Cumulative sums of each group from its own first member, so that they do not depend on other groups."""
+    out = x.copy()
+    for step in range(1, int(count.max(initial=0))):
+        at = heads[count > step] + step
+        out[at] += out[at - 1]
+    return out
+
+
 class Lattices:
     """Filtered lattices of many parts at once, in arrays.
 
@@ -222,8 +232,7 @@ class Lattices:
         start, end, label, chance, opens = (x[order] for x in (start, end, label, chance, opens))
         heads = np.flatnonzero(np.diff(end, prepend=-1))
         count = np.diff(np.append(heads, len(end)))
-        run = np.cumsum(chance)
-        cum = run - np.repeat(run[heads] - chance[heads], count)
+        cum = _sums_within(chance, heads, count)
         cum[heads + count - 1] = 2.0  # the last outcome takes what rounding leaves
         return heads, count, cum, label, np.where(opens, 0, base + start), base + stop
 
@@ -231,7 +240,7 @@ class Lattices:
 class Sampler:
     """The lattices met so far, and sampling from them."""
 
-    def __init__(self, model: PieceModel, alpha: float, seed: int, keep: int = 200_000):
+    def __init__(self, model: PieceModel, alpha: float, seed: int, keep: int = 80_000):
         self.lattices, self.model, self.seed, self.keep = Lattices(model, alpha), model, seed, keep
         self.clear()
 
@@ -313,9 +322,15 @@ class Sampler:
         return np.split(out.astype(np.int32), np.cumsum(per)[:-1]) if len(texts) else []
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def _slices(batch: pa.RecordBatch, column: int = 1, size: int = 300_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch that hold up to ``size`` bytes (or items) in a column, a single row at least: arrays stay small."""
+    lengths = (pc.binary_length if pa.types.is_string(batch.schema.types[column]) or pa.types.is_large_string(batch.schema.types[column]) else pc.list_value_length)(batch.column(column))
+    total = np.cumsum(pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8)
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def _encode(batches: Iterator[pa.RecordBatch], model: PieceModel, alpha: float, seed: int) -> Iterator[pa.RecordBatch]:
@@ -331,7 +346,7 @@ def _encode(batches: Iterator[pa.RecordBatch], model: PieceModel, alpha: float,
 def _decode(batches: Iterator[pa.RecordBatch], model: PieceModel) -> Iterator[pa.RecordBatch]:
     raw = model.raw()
     for batch in batches:
-        for part in _slices(batch):
+        for part in _slices(batch, 0):
             texts = [None if i is None else b"".join([raw[x] for x in i]).decode("utf-8", "surrogatepass") for i in part.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string())], [*part.schema.names[1:], "decoded"])
 
