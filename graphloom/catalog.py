@@ -389,9 +389,9 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return attributes.multicategory_buffers(_tagged(spark, sf), "node", "tags")[1].select(F.col("at").alias("place"), "id", "category")
 
 
-@query("multicategory_offsets", f"with {_TAGS}, o as (select id, n, coalesce(sum(n) over (order by id rows between unbounded preceding and 1 preceding), 0)::bigint as place from t) select id, place as \"offset\", (place + n)::bigint as stop from o")
+@query("multicategory_offsets", f"with {_TAGS}, o as (select id, n, coalesce(sum(n) over (order by id rows between unbounded preceding and 1 preceding), 0)::bigint as place from t) select id, place as first_at, (place + n)::bigint as stop_at from o")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    return attributes.multicategory_buffers(_tagged(spark, sf), "node", "tags")[0]
+    return attributes.multicategory_buffers(_tagged(spark, sf), "node", "tags")[0].select("id", F.col("offset").alias("first_at"), F.col("stop").alias("stop_at"))
 
 
 @query("node_to_edge_copy", f"with {TRADE} select e.id, a.regionkey as src_region, b.regionkey as dst_region from e join n a on a.id = src join n b on b.id = dst")
