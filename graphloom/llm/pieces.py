@@ -240,7 +240,7 @@ class Lattices:
 class Sampler:
     """The lattices met so far, and sampling from them."""
 
-    def __init__(self, model: PieceModel, alpha: float, seed: int, keep: int = 80_000):
+    def __init__(self, model: PieceModel, alpha: float, seed: int, keep: int = 130_000):
         self.lattices, self.model, self.seed, self.keep = Lattices(model, alpha), model, seed, keep
         self.clear()
 
