@@ -238,7 +238,7 @@ def _labelled() -> np.ndarray:
 
 #: words, link density, those before, those after, in main, in boiler, heading, item, label
 LABELLED = [
-    # blocks of real pages, labelled by reading the pages
+    # blocks of real pages; the label tells whether they stand in the page's article element
     (1, 1, 0, 0, 1, 1, 0, 1, 0, 1, 0), (1, 1, 1, 1, 1, 1, 0, 1, 0, 1, 0), (1, 1, 1, 1, 8, 0, 0, 1, 0, 1, 0), (8, 0, 1, 1, 10, 0, 0, 1, 0, 0, 0), (10, 0, 8, 0, 51, 0, 1, 0, 1, 0, 1), (51, 0, 10, 0, 8, 0, 1, 0, 0, 0, 1), (8, 0, 51, 0, 11, 0, 1, 0, 0, 0, 1), (11, 0, 8, 0, 36, 0, 1, 0, 0, 0, 1),
     (36, 0, 11, 0, 32, 0, 1, 0, 0, 0, 1), (32, 0, 36, 0, 52, 0, 1, 0, 0, 0, 1), (52, 0, 32, 0, 25, 0, 1, 0, 0, 0, 1), (25, 0, 52, 0, 11, 0, 1, 0, 0, 0, 1), (11, 0, 25, 0, 0, 0, 0, 1, 0, 0, 0), (9, 0, 8, 0, 12, 0, 1, 0, 1, 0, 1), (12, 0, 9, 0, 9, 0, 1, 0, 0, 0, 1), (39, 0, 9, 0, 8, 0, 1, 0, 0, 0, 1),
     (8, 0, 39, 0, 20, 0, 1, 0, 0, 0, 1), (20, 0, 8, 0, 8, 0, 1, 0, 0, 0, 1), (8, 0, 20, 0, 8, 0, 1, 0, 0, 0, 1), (8, 0, 8, 0, 0, 0, 0, 1, 0, 0, 0), (1, 1, 1, 1, 5, 0, 0, 1, 0, 1, 0), (5, 0, 1, 1, 2, 0, 0, 1, 0, 0, 0), (2, 0, 5, 0, 2, 0, 1, 0, 1, 0, 1), (2, 0, 2, 0, 11, 0, 1, 0, 0, 0, 1),
