@@ -31,10 +31,19 @@ from graphloom.llm.common import hash_sample_by, held_out, mix64
 #: Word characters that are numbers and no letters, such as superscripts and fractions.
 _NUMBERS = "".join(c for c in map(chr, range(0x20000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
 _WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_RUN = re.compile(r"[^\W\d_]+")  #: a word, or one with such numbers in it
 UNDETERMINED = "und"
 LEAST = 30  #: rows of a language that the training sample holds at least, unless there are fewer
 
 
+def words_in(text: str) -> list[str]:
+    """What ``_WORD`` finds; its long class is only tried on runs that hold more than letters."""
+    runs = _RUN.findall(text)
+    if not runs or "".join(runs).isalpha():
+        return runs
+    return [w for run in runs for w in ([run] if run.isalpha() else _WORD.findall(run))]
+
+
 def forward_backward(emit: np.ndarray, trans: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posteriors of padded sequences.
 
@@ -137,7 +146,7 @@ class WordField:
     def fit(self, texts: list[str], langs: list[str], sequences: int = 2400, length: int = 50, epochs: int = 4, rate: float = 0.3, batch: int = 40) -> WordField:
         rng = np.random.default_rng(self.seed)
         index = {x: i for i, x in enumerate(self.languages)}
-        docs = [(w, index[lang]) for t, lang in zip(texts, langs, strict=True) if (w := _WORD.findall(t))]
+        docs = [(w, index[lang]) for t, lang in zip(texts, langs, strict=True) if (w := words_in(t))]
         if not docs:
             return self
         counts: dict[int, Counter[str]] = defaultdict(Counter)
@@ -192,7 +201,7 @@ class WordField:
 
     def tag(self, texts: list[str]) -> list[list[tuple[str, str, float]]]:
         """Each text's words with their likeliest language and its posterior."""
-        out, lists = [], [_WORD.findall(t or "") for t in texts]
+        out, lists = [], [words_in(t or "") for t in texts]
         for words, post in zip(lists, self.posteriors(lists, Emissions(self)), strict=True):
             best = post.argmax(axis=1)
             out.append([(w, self.languages[k], float(p[k])) for w, k, p in zip(words, best, post, strict=True)])
@@ -246,7 +255,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: WordField, keep: int = 30
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            texts = [_WORD.findall(t) if (t := x.as_py()) else [] for x in part.column(1)]
+            texts = [words_in(t) if (t := x.as_py()) else [] for x in part.column(1)]
             if len(known) > keep:
                 known = Emissions(model)
             langs, scores = [], []

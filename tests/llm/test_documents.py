@@ -159,6 +159,21 @@ def test_numbers_are_no_letters():
     assert language._WORD.findall("² ½ ① 12 _ x² Ⅷ 一 été") == ["x", "一", "été"]
 
 
+def test_words_are_found_without_the_long_class():
+    import time
+
+    odd = "² ½ ① 12 _ x² Ⅷ 一 été a½b " + "".join(map(chr, range(0x3000)))
+    assert language.words_in(odd) == language._WORD.findall(odd) and language.words_in("1 ²") == language.words_in("") == []
+    text = "words of letters only, and a few numbers 1 2 3; " * 5_000
+
+    def seconds(find):
+        began = time.process_time()
+        find(text)
+        return time.process_time() - began
+
+    assert min(seconds(language.words_in) for _ in range(5)) * 3 < min(seconds(language._WORD.findall) for _ in range(5))
+
+
 def test_code_switched_words():
     en, fr = "the house and the river were green and wide", "la maison et la rivière étaient vertes et larges"
     model = language.WordField(["en", "fr"]).fit([en] * 20 + [fr] * 20, ["en"] * 20 + ["fr"] * 20, sequences=300)
