@@ -267,16 +267,18 @@ def _worthwhile(i: np.ndarray, j: np.ndarray, comp: np.ndarray, bags: list[np.nd
     return out
 
 
-def _leaf_pairs(batches: Iterator[pa.RecordBatch], threshold: int, hide: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components within small nodes; rows come sorted by (node, block)."""
+def _plausible_rows(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+    """Rows of small nodes that are in a plausible pair of different components; rows come sorted by (node, block).
+
+    ``at`` is the row's place in its leaf, ``width`` the leaf's size and
+    ``bits`` has one for the place of each row it is paired with further on.
+    """
     for t in sorted_runs(batches, ["node", "block"]):
         node, block, v, comp, n = (t.column(c).to_numpy() for c in ("node", "block", "v", "comp", "n"))
         minor = t.column("minor").to_numpy()
         sk = _matrix(t.column("sk"), np.uint8)
-        bags = [np.frombuffer(x.as_buffer(), np.uint16) for x in t.column("bag")]
         starts = run_starts([node, block])
         sizes = np.diff(np.append(starts, len(node)))
-        out: list[tuple[int, int, bool]] = []
         for size in np.unique(sizes):
             if size < 2:
                 continue
@@ -284,18 +286,36 @@ def _leaf_pairs(batches: Iterator[pa.RecordBatch], threshold: int, hide: bool) -
             groups = starts[sizes == size]
             step = max(1, 2_000_000 // len(ii))
             for g in range(0, len(groups), step):
-                i = (groups[g : g + step, None] + ii).ravel()
-                j = (groups[g : g + step, None] + jj).ravel()
+                begin = groups[g : g + step]
+                i = (begin[:, None] + ii).ravel()
+                j = (begin[:, None] + jj).ravel()
                 apart = (comp[i] != comp[j]) & (minor[i] | minor[j])
                 i, j = i[apart], j[apart]
                 ok = _similar(sk, n, i, j, threshold)
                 i, j = i[ok], j[ok]
                 if not len(i):
                     continue
-                leaf = np.searchsorted(starts, i, "right")
-                cuts = run_starts([leaf])
-                for a, b in zip(cuts, np.append(cuts[1:], len(i)), strict=True):
-                    out += _worthwhile(i[a:b], j[a:b], comp, bags, threshold, hide)
+                rows, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+                at = rows - begin[np.searchsorted(begin, rows, "right") - 1]
+                paired = np.zeros((len(rows), size), bool)
+                paired[back[: len(i)], at[back[len(i) :]]] = True
+                bits = [x.tobytes() for x in np.packbits(paired, axis=1)]
+                columns = [pa.array(x) for x in (node[rows], block[rows], v[rows], comp[rows], at, np.full(len(rows), size))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(bits, pa.binary())], ["node", "block", "v", "comp", "at", "width", "bits"])
+
+
+def _leaf_pairs(batches: Iterator[pa.RecordBatch], threshold: int, hide: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs to confirm of the rows that ``_plausible_rows`` gave; they come sorted by (node, block, at)."""
+    for t in sorted_runs(batches, ["node", "block"]):
+        node, block, v, comp, at, width = (t.column(c).to_numpy() for c in ("node", "block", "v", "comp", "at", "width"))
+        bags = [np.frombuffer(x.as_buffer(), np.uint16) for x in t.column("bag")]
+        bits = [np.frombuffer(x.as_buffer(), np.uint8) for x in t.column("bits")]
+        starts = run_starts([node, block])
+        out: list[tuple[int, int, bool]] = []
+        for a, b in zip(starts, np.append(starts[1:], len(node)), strict=True):
+            i, place = np.nonzero(np.unpackbits(np.stack(bits[a:b]), axis=1, count=int(width[a])))
+            j = np.searchsorted(at[a:b], place)
+            out += _worthwhile(a + i, a + j, comp, bags, threshold, hide)
         if out:
             i, j = np.array([p[:2] for p in out], np.int64).T
             columns = [node[i], block[i], np.maximum(v[i], v[j]), np.minimum(v[i], v[j]), np.array([p[2] for p in out], bool)]
@@ -391,10 +411,11 @@ class _Join:
 
     def _plausible(self, pairs: DataFrame) -> DataFrame:
         """Drop star candidates whose sketches are too unlike to be confirmed."""
-        sk = self.reps.select("v", "n", "sig")
-        rows = pairs.join(sk.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
+        pairs = self.scratch.save(pairs, "candidates")
+        left, right = (self._of_reps(pairs, side, "n", "sig") for side in ("a", "b"))
+        rows = pairs.join(left.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
         near = f"100 * least(na, n) >= {self.threshold} * greatest(na, n)"
-        rows = rows.join(sk.withColumnRenamed("v", "b"), "b").where(near).select("a", "b", "sa", "sig")
+        rows = rows.join(right.withColumnRenamed("v", "b"), "b").where(near).select("a", "b", "sa", "sig")
         return rows.mapInArrow(partial(_star_pairs, threshold=self.threshold), "a long, b long")
 
     def stragglers(self, labels: DataFrame) -> DataFrame:
@@ -417,7 +438,7 @@ class _Join:
             more = large.where("not dense").select("node", "v", F.col("size").alias("parent"))
             if not more.limit(1).count():
                 break
-            more = more.join(self.reps.select("v", "sig"), "v").select("node", "v", "parent", "sig")
+            more = more.join(self._of_reps(more, "v", "sig"), "v").select("node", "v", "parent", "sig")
             rows = self.scratch.save(more.mapInArrow(partial(_next_nodes, branch=self.branch), "node long, v long, parent long"), "deeper")
         leaves = reduce(DataFrame.unionByName, [*found, self._regions(reduce(DataFrame.unionByName, dense))])
         leaves = self.scratch.save(leaves, "leaves")
@@ -432,10 +453,19 @@ class _Join:
         return links
 
     def _leaf_pairs(self, leaves: DataFrame, hide: bool) -> DataFrame:
-        sk = self.reps.select("v", "sig", "bag").mapInArrow(_low_bytes, "v long, sk binary, bag binary")
+        """Candidates within leaves: by sketches first, so that samples of sets go only to rows with a plausible pair."""
+        sk = self.reps.select("v", "sig").mapInArrow(_low_bytes, "v long, sk binary")
         rows = leaves.join(sk, "v").repartition("node", "block").sortWithinPartitions("node", "block")
+        rows = rows.mapInArrow(partial(_plausible_rows, threshold=self.threshold), "node long, block int, v long, comp long, at long, width long, bits binary")
+        rows = self.scratch.save(rows, "plausible")
+        rows = rows.join(self._of_reps(rows, "v", "bag"), "v").repartition("node", "block").sortWithinPartitions("node", "block", "at")
         return rows.mapInArrow(partial(_leaf_pairs, threshold=self.threshold, hide=hide), "node long, block int, a long, b long, sure boolean")
 
+    def _of_reps(self, saved: DataFrame, key: str, *columns: str) -> DataFrame:
+        """``v`` and columns of the representatives, without most that no row of a saved table asks for: sketches and samples that nobody needs are not shuffled."""
+        asked = self.scratch.save(saved.select(F.col(key).alias("v")).distinct(), "asked")
+        return split_by_keys(self.reps.select("v", *columns), F.col("v"), asked, self.scratch)[1]
+
     def _with_density(self, large: DataFrame, nodes: DataFrame) -> DataFrame:
         """Large nodes' rows with ``dense``: whether a further descent would hardly part them.
 
@@ -444,7 +474,8 @@ class _Join:
         only chooses between two ways that both treat all of a node's rows.
         """
         chance = F.pmod(F.xxhash64("node", "v"), F.lit(1 << 20)) * F.col("size") < float(2 * LEAF << 20)
-        some = large.where(chance).select("node", "v").join(self.reps.select("v", "sig"), "v").select("node", "sig")
+        some = self.scratch.save(large.where(chance).select("node", "v"), "some")
+        some = some.join(self._of_reps(some, "v", "sig"), "v").select("node", "sig")
         shares = some.repartition("node").sortWithinPartitions("node").mapInArrow(_mean_similarity, "node long, share double")
         dense = F.coalesce("stuck", F.lit(False)) | (F.coalesce("share", F.lit(0.0)) > SHRINK)
         flags = self.scratch.save(nodes.join(shares, "node", "left").select("node", F.col("size").alias("count"), dense.alias("dense")), "flags")
@@ -514,7 +545,7 @@ def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             sk = np.ascontiguousarray(_matrix(batch.column(1), np.uint16).astype(np.uint8))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in sk], pa.binary()), batch.column(2)], ["v", "sk", "bag"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in sk], pa.binary())], ["v", "sk"])
 
 
 def _star_pairs(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:

@@ -381,6 +381,26 @@ def test_a_failed_sure_pair_reopens_its_leaf():
     assert len(minhash._worthwhile(i, j, np.arange(3), bags, 80, False)) == 3
 
 
+def test_samples_of_sets_go_only_to_rows_of_plausible_pairs():
+    rng = np.random.default_rng(1)
+    sketch = rng.integers(0, 256, (40, 128)).astype(np.uint8)
+    sketch[30:35] = sketch[3]
+    comp = np.where(np.arange(40) == 34, 3, np.arange(40))  # 3 and 34 are linked already
+    node, block = np.repeat([7, 8], 20), np.zeros(40, np.int32)
+    node[30:35] = 7
+    order = np.argsort(node, kind="stable")
+    names = ["node", "block", "v", "comp", "n", "minor", "sk"]
+    columns = [pa.array(x[order]) for x in (node, block, np.arange(40), comp, np.full(40, 300), np.ones(40, bool))]
+    rows = list(minhash._plausible_rows(iter([pa.RecordBatch.from_arrays([*columns, pa.array([sketch[i].tobytes() for i in order])], names)]), 85))
+    (found,) = [t for t in rows if t.num_rows]
+    assert sorted(found.column("v").to_pylist()) == [3, 30, 31, 32, 33, 34]
+    bag = pa.array([np.array([0, 2, 1, 2, 3], np.uint16).tobytes()] * found.num_rows)
+    found = pa.RecordBatch.from_arrays([*found.columns, bag], [*found.schema.names, "bag"])
+    (pairs,) = minhash._leaf_pairs(iter([found]), 85, False)
+    alike = [(a, b) for a in (3, 30, 31, 32, 33, 34) for b in (3, 30, 31, 32, 33, 34) if a > b and (a, b) != (34, 3)]
+    assert sorted(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)) == alike
+
+
 def test_texts_full_of_spans(spark):
     import time
 
