@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.catalog import PIECE_MODEL
-from graphloom.llm.common import table
+from graphloom.llm.common import short_batches, table
 from graphloom.llm.minhash import without_near_duplicates
 from graphloom.llm.mixing import mixed_documents
 from graphloom.llm.pieces import PieceModel, encode_pieces
@@ -24,6 +24,7 @@ TOXIC = 0.3  #: documents with this score or more go
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below ``TOXIC``; null and empty texts stay unless most labelled rows are toxic."""
+    short_batches(spark)
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     return score_documents(docs, model, name="__toxicity").where(F.col("__toxicity") < TOXIC).drop("__toxicity")
 
@@ -35,6 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     apart.  Rows without words and rows with a null id all stay; an empty table
     gives no rows; other columns pass.
     """
+    short_batches(spark)
     return without_near_duplicates(docs)
 
 
@@ -51,6 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's sampled segmentation, seeded by its id, in place of its text."""
+    short_batches(spark)
     return encode_pieces(docs, PieceModel.load(PIECE_MODEL), keep=["doc_id", "lang", "source", "n_chars"])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,6 +42,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send whole texts to Python in batches of ``rows`` at most: lowers the session's setting, never raises it.
+
+    A batch lies in memory several times, in the JVM and in Python; Spark's
+    10,000 documents are tens of megabytes.  The batches change no result.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000") or 10_000)
+    if not 0 < now <= rows:
+        spark.conf.set(name, rows)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def uniforms(seed: np.ndarray) -> np.ndarray:
     """Numbers in [0, 1) from 64-bit seeds."""
     return (mix64(seed) >> np.uint64(11)).astype(np.float64) * (1.0 / (1 << 53))

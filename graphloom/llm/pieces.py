@@ -30,9 +30,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import mix64, uniforms
+from graphloom.llm.common import give_back, mix64, uniforms
 
 _TOKEN = re.compile(r" *[^ ]+| +")
+PORTION = 30_000  #: characters of parts whose lattices are filtered at once; a longer part alone
 
 
 @dataclass
@@ -111,6 +112,37 @@ class _Index(dict):
         return n
 
 
+class _Grown:
+    """An array that grows at its end, by halves, so that it is seldom copied."""
+
+    def __init__(self, dtype: type, *first: float):
+        self.room, self.size = np.array(first, dtype), len(first)
+
+    def add(self, more: np.ndarray) -> None:
+        size = self.size + len(more)
+        if size > len(self.room):
+            room = np.empty(max(size, 1000 + len(self.room) * 3 // 2), self.room.dtype)
+            room[: self.size] = self.room[: self.size]
+            self.room = room
+        self.room[self.size : size] = more
+        self.size = size
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        return self.room[: self.size]
+
+
+def _portions(parts: list[str], size: int) -> Iterator[list[str]]:
+    """Parts in their order, of about ``size`` characters in all, a single part at least."""
+    at, total = 0, np.cumsum([len(p) for p in parts])
+    while at < len(parts):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right")))
+        yield parts[at:stop]
+        at = stop
+
+
 def _chars(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
@@ -246,9 +278,8 @@ class Sampler:
 
     def clear(self) -> None:
         self.tokens, self.parts = _Index(), _Index()
-        none = np.zeros(0, np.int64)
-        self.token_at, self.token_parts, self.part_node = np.zeros(1, np.int64), none, none
-        self.first, self.cum, self.label, self.next = np.zeros(1, np.int64), np.zeros(0), none, none
+        self.token_at, self.token_parts, self.part_node = _Grown(np.int32, 0), _Grown(np.int32), _Grown(np.int32)
+        self.first, self.cum, self.label, self.next = _Grown(np.int32, 0), _Grown(np.float64), _Grown(np.int32), _Grown(np.int32)
 
     def _learn(self) -> None:
         """Take in the new tokens: cut them into parts and filter the parts' lattices."""
@@ -258,14 +289,16 @@ class Sampler:
         ends = self.lattices.cuts(text, token_ends)
         begins = np.concatenate([[0], ends[:-1]])
         ids = np.array([self.parts[text[a:b]] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], np.int64)
-        self.token_at = np.concatenate([self.token_at, len(self.token_parts) + np.searchsorted(ends, token_ends) + 1])
-        self.token_parts = np.concatenate([self.token_parts, ids])
+        self.token_at.add(len(self.token_parts) + np.searchsorted(ends, token_ends) + 1)
+        self.token_parts.add(ids)
         fresh, self.parts.new = self.parts.new, []
-        if fresh:
-            first, _, cum, label, after, nodes = self.lattices.build(fresh, len(self.first) - 1)
-            self.first = np.concatenate([self.first, first + len(self.cum)])
-            self.cum, self.label, self.next = np.concatenate([self.cum, cum]), np.concatenate([self.label, label]), np.concatenate([self.next, after])
-            self.part_node = np.concatenate([self.part_node, nodes])
+        for some in _portions(fresh, PORTION):
+            first, _, cum, label, after, nodes = self.lattices.build(some, len(self.first) - 1)
+            self.first.add(first + len(self.cum))
+            self.cum.add(cum)
+            self.label.add(label)
+            self.next.add(after)
+            self.part_node.add(nodes)
 
     def sample(self, keys: list[int | None], texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -279,12 +312,12 @@ class Sampler:
             lengths.append(len(found))
         if self.tokens.new:
             self._learn()
-        token_at, first, cum, label, after = self.token_at, self.first, self.cum, self.label, self.next
+        token_at, token_parts, part_node, first, cum, label, after = map(np.asarray, (self.token_at, self.token_parts, self.part_node, self.first, self.cum, self.label, self.next))
         tokens = np.array(coded, np.int64)
         sizes = token_at[tokens + 1] - token_at[tokens]
         total = int(sizes.sum())
         begin = np.cumsum(sizes) - sizes
-        node = self.part_node[self.token_parts[np.repeat(token_at[tokens] - begin, sizes) + np.arange(total)]]
+        node = part_node[token_parts[np.repeat(token_at[tokens] - begin, sizes) + np.arange(total)]]
         doc = np.repeat(np.repeat(np.arange(len(texts)), lengths), sizes)
         per_doc = np.bincount(doc, minlength=len(texts))
         place = np.arange(total) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
@@ -341,6 +374,8 @@ def _encode(batches: Iterator[pa.RecordBatch], model: PieceModel, alpha: float,
             offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*part.columns[2:], lists, pa.array(np.diff(offsets), pa.int64())], [*part.schema.names[2:], "ids", "n_pieces"])
+    del sampler
+    give_back()
 
 
 def _decode(batches: Iterator[pa.RecordBatch], model: PieceModel) -> Iterator[pa.RecordBatch]:
@@ -362,6 +397,8 @@ def _round_trip(batches: Iterator[pa.RecordBatch], model: PieceModel, alpha: flo
                 sums.append(hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest())
                 whole.append(b"".join([raw[x] for x in ids.tolist()]) == (text or "").encode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.string()), pa.array(whole, pa.bool_())], ["doc_id", "n_pieces", "ids_sha256", "lossless"])
+    del sampler
+    give_back()
 
 
 def encode_pieces(docs: DataFrame, model: PieceModel, key_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, alpha: float = 0.5, seed: int = 1) -> DataFrame:

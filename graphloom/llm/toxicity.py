@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import hash_sample, held_out
+from graphloom.llm.common import give_back, hash_sample, held_out
 
 _TOKEN = re.compile(r"\w+")
 
@@ -125,11 +125,12 @@ class SubwordSoftmax:
         return (self.E @ w).astype(np.float32), float(self.bias[1] - self.bias[0])
 
 
-def _score(batches: Iterator[pa.RecordBatch], features, table: np.ndarray, bias: float, name: str = "score", keep: int = 300_000) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], features, table: np.ndarray, bias: float, name: str = "score", at: int = 0, passed: int | None = None, keep: int = 300_000) -> Iterator[pa.RecordBatch]:
+    """Scores of the texts in column ``at``, after the first ``passed`` columns (all by default)."""
     known: dict[str, tuple[float, int]] = {}
-    for batch in batches:
+    for batch in (whole.slice(a, 1000) for whole in batches for a in range(0, whole.num_rows, 1000)):
         scores = np.empty(batch.num_rows)
-        for r, text in enumerate(batch.column(0)):
+        for r, text in enumerate(batch.column(at)):
             text = text.as_py()
             total, n = 0.0, 0
             for word, times in Counter(_TOKEN.findall(text.lower())).items() if text else ():
@@ -142,8 +143,9 @@ def _score(batches: Iterator[pa.RecordBatch], features, table: np.ndarray, bias:
                 total += times * got[0]
                 n += times * got[1]
             scores[r] = 1 / (1 + np.exp(-np.clip(bias + (total / n if n else 0.0), -50, 50)))
-        rest = [batch.column(i) for i in range(1, batch.num_columns)]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(scores)], [*batch.schema.names[1:], name])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:passed], pa.array(scores)], [*batch.schema.names[:passed], name])
+    known.clear()
+    give_back()
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_chars: int) -> tuple[list[str], list[int]]:
@@ -167,9 +169,12 @@ def score_documents(docs: DataFrame, model: SubwordSoftmax, text_col: str = "tex
     """
     table, bias = model.collapsed()  # executors need no embeddings: a copy of the settings tells the features
     keep = docs.columns if keep is None else keep
-    rows = docs.select(F.col(text_col).alias("__text"), *[F.col(f"`{c}`") for c in keep if c != name])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(partial(_score, features=replace(model).features, table=table, bias=bias, name=name), ", ".join(filter(None, [schema, f"`{name}` double"])))
+    passed = [c for c in keep if c != name]
+    at = passed.index(text_col) if text_col in passed else len(passed)  # a text that stays is sent once
+    rows = docs.select(*[F.col(f"`{c}`") for c in passed], *([F.col(text_col).alias("__text")] if at == len(passed) else []))
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(passed)]]
+    work = partial(_score, features=replace(model).features, table=table, bias=bias, name=name, at=at, passed=len(passed))
+    return rows.mapInArrow(work, ", ".join([*schema, f"`{name}` double"]))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_chars: int = 20_000, **settings) -> SubwordSoftmax:

@@ -401,6 +401,22 @@ def test_samples_of_sets_go_only_to_rows_of_plausible_pairs():
     assert sorted(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)) == alike
 
 
+def test_the_store_of_lattices_is_built_in_portions(model):
+    import tracemalloc
+
+    letters = np.random.default_rng(2).choice(list("etaoinshrdlu"), (5_000, 40))
+    texts = ["".join(x) for x in letters]
+    sampler = pieces.Sampler(model, 0.5, 1)
+    tracemalloc.start()
+    try:
+        got = sampler.sample(list(range(5_000)), texts)
+        held, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert all(model.decode(g.tolist()) == t for g, t in zip(got, texts, strict=True))
+    assert most - held < 40_000_000
+
+
 def test_texts_full_of_spans(spark):
     import time
 
